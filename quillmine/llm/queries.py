@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmine.llm import queries_substring, queries_toxicity
+from quillmine.llm import queries_packing, queries_simhash, queries_substring, queries_toxicity
 
-_MODULES = (queries_toxicity, queries_substring)
+_MODULES = (queries_toxicity, queries_substring, queries_packing, queries_simhash)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
