@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quillmine.plans import retrieval_queries, text_queries, web_queries
+
 FLAGSHIP = "hybrid_retrieval"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+_MODULES = (retrieval_queries, text_queries, web_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
