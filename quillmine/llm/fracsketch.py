@@ -38,9 +38,9 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
             F.transform(F.sequence(F.lit(0), F.size(h) - shingle), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(shingle)))),
         ).otherwise(F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
 
-    low = F.lit(-(1 << 63) + ((1 << 64) // scale))
+    last = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
     # An array of one element lets a lambda name the hashes once.
-    kept = F.transform(F.array(hashes), lambda h: F.filter(shingles(h), lambda x: x < low))[0]
+    kept = F.transform(F.array(hashes), lambda h: F.filter(shingles(h), lambda x: x <= last))[0]
     return F.sort_array(F.array_distinct(kept))
 
 
@@ -78,7 +78,7 @@ def neighbours(docs: DataFrame, sketched: bool = True, bucket_rows: int = BUCKET
     if limits:
         bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x > F.col("doc_id"))), F.lit(len(limits)))
     else:
-        bucket = F.lit(0)
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1))  # a literal would turn the joins below into loops
     rows = rows.withColumn("bucket", bucket.cast("int"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     place = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("less"), F.xxhash64("text").alias("hash"))
@@ -91,7 +91,9 @@ def neighbours(docs: DataFrame, sketched: bool = True, bucket_rows: int = BUCKET
     spark = docs.sparkSession
     target = spark.createDataFrame([(b, p) for b, p in before.items()], "head_bucket int, target int")
     marks = firsts.join(F.broadcast(target), F.col("bucket") == F.col("head_bucket")).select(F.col("bucket").alias("head_bucket"), "first", "target")
-    extra = rows.withColumn("place", place).join(F.broadcast(marks), (F.col("bucket") == F.col("head_bucket")) & F.col("place").eqNullSafe(F.col("first")))
+    marks = marks.withColumn("first_key", F.xxhash64("first"))
+    extra = rows.withColumn("place", place).withColumn("place_key", F.xxhash64("place"))
+    extra = extra.join(F.broadcast(marks), (F.col("bucket") == F.col("head_bucket")) & (F.col("place_key") == F.col("first_key")) & F.col("place").eqNullSafe(F.col("first")))
     extra = extra.groupBy("target", "doc_id", "text").agg(F.first("bucket").alias("head")).select("doc_id", "text", F.col("target").alias("bucket"), F.lit(1).alias("tail"))
     dealt = rows.withColumn("tail", F.lit(0)).unionByName(extra).repartition("bucket")
     if sketched:

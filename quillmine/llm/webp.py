@@ -81,6 +81,8 @@ class Code:
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
+        if not len(used):
+            raise ValueError("a prefix code is empty")
         if len(used) == 1:
             self.only, self.bits = int(used[0]), 0
             self.symbols, self.sizes = used.astype(np.int32), np.zeros(1, np.int32)
