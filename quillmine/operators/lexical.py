@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmine.functions.text import tokens
+from quillmine.sources.tables import persist
 
 K1, B = 1.5, 0.75
 #: Scores are ordered by this many digits, so that the order in which parts are added doesn't matter.
@@ -35,7 +36,8 @@ class LexicalIndex:
 
 
 def build_index(corpus: DataFrame, any_script: bool = True) -> LexicalIndex:
-    found = postings(corpus, any_script)
+    """The postings are written as a table, as several joins read them."""
+    found = persist(postings(corpus, any_script), "postings")
     lengths = found.groupBy("ordinal").agg(F.sum("tf").alias("length"))
     count = corpus.count()
     mean = (found.agg(F.sum("tf")).first()[0] or 0) / count if count else 0.0
@@ -62,7 +64,12 @@ def bm25(index: LexicalIndex, question_tokens: DataFrame, k1: float = K1, b: flo
 
 def keyword_scores(corpus_postings: DataFrame, questions: DataFrame, by: list[str], any_script: bool = True) -> DataFrame:
     """by, ordinal and score in (0, 1]: shared tokens (as multisets) by all tokens of the question's text."""
-    asked = questions.select(*by, F.explode(tokens(F.col("text"), any_script)).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("qf"))
+    asked = asked_tokens(questions, by, any_script)
     total = asked.groupBy(*by).agg(F.sum("qf").alias("total"))
     shared = corpus_postings.join(asked, "token").groupBy(*by, "ordinal").agg(F.sum(F.least("tf", "qf")).alias("shared"))
     return shared.join(total, by).select(*by, "ordinal", F.least(F.lit(1.0), F.col("shared") / F.col("total")).alias("score"))
+
+
+def asked_tokens(questions: DataFrame, by: list[str], any_script: bool = True) -> DataFrame:
+    """by, token and qf, its count in the question's text."""
+    return questions.select(*by, F.explode(tokens(F.col("text"), any_script)).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("qf"))

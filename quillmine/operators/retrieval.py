@@ -16,6 +16,7 @@ from quillmine.functions import fixed
 from quillmine.functions.config import Settings
 from quillmine.functions.text import is_aggregate_query, search_form, search_text, strip, tokens
 from quillmine.operators import fusion, lexical, vectors
+from quillmine.sources.tables import persist
 
 METADATA = ["source_type", "source_url", "section", "department", "crawled_at"]
 _RESULT = ["qid", "rank", "document", "page", "text", "score", *METADATA]
@@ -84,11 +85,12 @@ def target_documents(prepared: DataFrame, corpus: DataFrame) -> DataFrame:
     return named.withColumn("longest", F.max("size").over(Window.partitionBy("qid"))).where("size = longest").select("qid", "document").distinct()
 
 
-def keyword_backend(any_script: bool = True) -> Backend:
-    """A model-free stand-in: the distance is one less the keyword overlap; rows without overlap are left out."""
+def keyword_backend(any_script: bool = True, postings: DataFrame | None = None) -> Backend:
+    """A model-free stand-in: the distance is one less the keyword overlap; rows without overlap are left out. Postings may be given."""
 
     def search(asked: DataFrame, corpus: DataFrame) -> DataFrame:
-        scored = lexical.keyword_scores(lexical.postings(corpus, any_script), asked, ["qid", "vno"], any_script)
+        found = lexical.postings(corpus, any_script) if postings is None else postings
+        scored = lexical.keyword_scores(found, asked, ["qid", "vno"], any_script)
         ranked = lexical.top(scored.join(asked.select("qid", "vno", "k"), ["qid", "vno"]), ["qid", "vno"], "k")
         return ranked.select("qid", "vno", "ordinal", (1 - F.col("score")).alias("distance"))
 
@@ -139,13 +141,14 @@ def vector_ranking(asked: DataFrame, corpus: DataFrame, backend: Backend, metric
     return out.withColumn("page", _shown_page()).withColumn("rank", F.row_number().over(order)).select("qid", "document", "page", "text", "score", "rank", _payload())
 
 
-def lexical_ranking(prepared: DataFrame, asked: DataFrame, corpus: DataFrame, settings: Settings, any_script: bool = True) -> DataFrame:
+def lexical_ranking(prepared: DataFrame, asked: DataFrame, corpus: DataFrame, index: lexical.LexicalIndex, settings: Settings, any_script: bool = True) -> DataFrame:
     """The BM25 order of the first fetch_k chunks, with those below the keyword threshold left out and ranks closed up."""
-    index = lexical.build_index(corpus, any_script)
     asked_tokens = asked.select("qid", F.explode(tokens(F.col("text"), any_script)).alias("token"))
     first = lexical.top(lexical.bm25(index, asked_tokens).join(prepared.select("qid", "fetch_k"), "qid"), ["qid"], "fetch_k")
-    overlap = lexical.keyword_scores(index.postings, asked, ["qid", "vno"], any_script).groupBy("qid", "ordinal").agg(F.max("score").alias("overlap"))
-    kept = first.select("qid", "ordinal", F.col("rank").alias("place")).join(overlap, ["qid", "ordinal"]).where(F.col("overlap") >= settings.similarity_threshold)
+    first = persist(first.select("qid", "ordinal", F.col("rank").alias("place")), "lexical")
+    found = index.postings.join(first.select("ordinal").distinct(), "ordinal", "left_semi")
+    overlap = lexical.keyword_scores(found, asked, ["qid", "vno"], any_script).groupBy("qid", "ordinal").agg(F.max("score").alias("overlap"))
+    kept = first.join(overlap, ["qid", "ordinal"]).where(F.col("overlap") >= settings.similarity_threshold)
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
     rows = kept.join(corpus, "ordinal").withColumn("page", _shown_page()).withColumn("document", F.coalesce("document", F.lit(fixed.UNKNOWN_DOCUMENT)))
     return rows.select("qid", "document", "page", "text", F.col("overlap").alias("score"), "rank", _payload())
@@ -167,12 +170,14 @@ def retrieve(
     if catalogue is not None:
         hits = catalogue_hits(prepared, catalogue, settings.top_k)
         prepared = prepared.join(hits.select("qid").distinct(), "qid", "left_anti")
-    asked = variants(prepared)
-    by_vector = vector_ranking(asked, corpus, backend or keyword_backend(any_script), settings.distance_metric).join(prepared.select("qid", "fetch_k"), "qid")
+    prepared, asked = persist(prepared, "questions"), persist(variants(prepared), "variants")
+    index = lexical.build_index(corpus, any_script) if settings.hybrid_search or backend is None else None
+    search = backend or keyword_backend(any_script, index.postings)
+    by_vector = vector_ranking(asked, corpus, search, settings.distance_metric).join(prepared.select("qid", "fetch_k"), "qid")
     fetched = by_vector.where(F.col("rank") <= F.col("fetch_k")).withColumn("strong", F.col("score") >= settings.similarity_threshold)
     lists = fetched.select("qid", F.lit(1).alias("list"), "rank", *fusion.KEY, "payload", "strong")
     if settings.hybrid_search:
-        by_words = lexical_ranking(prepared, asked, corpus, settings, any_script)
+        by_words = lexical_ranking(prepared, asked, corpus, index, settings, any_script)
         lists = lists.unionByName(by_words.select("qid", F.lit(2).alias("list"), "rank", *fusion.KEY, "payload", F.lit(True).alias("strong")))
     strong = F.max("strong").over(Window.partitionBy("qid", *fusion.KEY))
     lists = lists.withColumn("payload", F.struct(F.col("payload").alias("meta"), strong.alias("strong")))
