@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmine.functions.config import Settings
+from quillmine.functions.errors import IndexUnavailable
 from quillmine.operators.chunking import split_pages
 from quillmine.operators.html import split_web_pages
 from quillmine.sources.tables import Snapshots, persist
@@ -20,8 +21,8 @@ from quillmine.sources.tables import Snapshots, persist
 MANIFEST_SCHEMA = "kind string, key string, hash string, document string, configuration string, n_chunks long"
 
 
-class NotReady(RuntimeError):
-    """The index can't answer yet."""
+class NotReady(IndexUnavailable):
+    """Nothing is indexed yet."""
 
 
 def chunk_id(file_hash: Column, page: Column, index: Column, text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quillmine.functions.text import normalize_text
 from quillmine.operators.crawling import WebSource
+from quillmine.sources.tables import persist as persist
 
 #: (page number, text) of a file's pages; raises for a file that can't be read.
 Extractor = Callable[[bytes], Iterator[tuple[int, str]]]
@@ -112,3 +113,18 @@ def read_web_sources(spark: SparkSession, path: str) -> list[WebSource]:
         default = lambda v, d: d if v is None else v
         out.append(WebSource(r.name, urls, domains, tuple(r.allowed_paths or ()) or ("/",), r.department or "", max(1, default(r.max_pages, 50)), max(0, default(r.max_depth, 2)), max(0.0, default(r.delay, 0.5))))
     return out
+
+
+#: Uploads: the largest size and the first bytes.
+MOST_UPLOAD_BYTES = 10 << 20
+
+
+def upload_status(uploads: DataFrame) -> DataFrame:
+    """uploads (name, content) with the status that a service would answer: 200, 415 for another kind of file, 413 for one that is too large, 422 for one without the right first bytes."""
+    status = (
+        F.when(~F.coalesce(F.endswith(F.lower("name"), F.lit(".pdf")), F.lit(False)), 415)
+        .when(F.octet_length("content") > MOST_UPLOAD_BYTES, 413)
+        .when(~F.coalesce(F.startswith("content", F.lit(b"%PDF")), F.lit(False)), 422)
+        .otherwise(200)
+    )
+    return uploads.withColumn("status", status)
