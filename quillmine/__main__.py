@@ -13,12 +13,13 @@ from quillmine.functions.config import Settings
 from quillmine.functions.logs import configure
 from quillmine.operators import evaluation, html, indexing, records
 from quillmine.sources import files
+from quillmine.sources.tables import persist
 
 
 def ingest(spark: SparkSession, source: str, index: str, settings: Settings) -> int:
     """Index the documents under a folder and write the course catalogue beside the index; 1 if a document failed."""
     pages, warnings = files.parse_pages(files.extract_pages(files.scan_documents(spark, source)))
-    pages = files.persist(pages, "pages")
+    pages = persist(pages, "pages")
     report = indexing.ChunkIndex(spark, index, settings).update_documents(pages)
     files.write_json(records.course_catalogue(pages), f"{index}/course_catalog")
     broken = warnings.where("page is null").count()
@@ -37,7 +38,7 @@ def ingest_web(spark: SparkSession, pages: str, index: str, settings: Settings,
 def evaluate(spark: SparkSession, dataset: str, corpus: str, threshold: float) -> int:
     cases = files.read_cases(spark, dataset).withColumn("qid", F.xxhash64("question"))
     rows = spark.read.schema("document string, page int, text string").option("multiLine", True).json(corpus).withColumn("ordinal", F.monotonically_increasing_id())
-    print(json.dumps(evaluation.evaluate(cases, files.persist(rows, "corpus"), threshold).first().asDict()))
+    print(json.dumps(evaluation.evaluate(cases, persist(rows, "corpus"), threshold).first().asDict()))
     return 0
 
 

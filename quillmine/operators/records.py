@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmine.functions import fixed
-from quillmine.functions.text import SPACE, clean, normalize_code, strip
+from quillmine.functions.text import SPACE, normalize_code, strip
 
 #: How codes, grades, rows and labels look.
 CODE = r"[A-Z]{2,4}\s*[- ]?\s*\d{4}[A-Z]?"

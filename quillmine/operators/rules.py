@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillmine.functions.text import clean, normalize_code
 
@@ -68,8 +67,3 @@ def check_requirements(courses: DataFrame, applied: DataFrame) -> tuple[DataFram
         n.alias("completed_count"), "required_count", F.col("g.minimum_courses").alias("minimum_courses"),
     )
     return report, shown
-
-
-def last_of(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The last row of each group."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc()))).where("__n = 1").drop("__n")

@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 
 from quillmine.functions.text import normalize_text
 from quillmine.operators.crawling import WebSource
-from quillmine.sources.tables import persist as persist
 
 #: (page number, text) of a file's pages; raises for a file that can't be read.
 Extractor = Callable[[bytes], Iterator[tuple[int, str]]]
