@@ -14,8 +14,12 @@ rows with a null doc_id too. Other columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,8 @@ from quillmine.llm.ranks import ranked
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers before it starts anew; bounds memory, not results.
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
 
 
@@ -39,35 +43,48 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Ids(dict):
-    """Little-endian ids of a chunk between white space. The tokenizer drops white space and never looks across it."""
+#: Texts of these characters alone are cut as the tokenizer cuts them: lower case, then letters, single digits and runs of signs.
+#: They have no combining marks, and no character whose lower case is another number of characters.
+_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
+_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+def cut(text: str) -> list[str]:
+    """Pieces of a text that the tokenizer encodes one by one, never across their ends: its own pieces of a plain text, else what stands between white space."""
+    if "<|" not in text and _PLAIN.fullmatch(text):
+        return _PLAIN_PIECES.findall(text.lower())
+    return WORDS.findall(text)
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+class Encoder:
+    """Ids of texts, as four little-endian bytes each, by the ids of their pieces. Unknown pieces are encoded together."""
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-@lru_cache(maxsize=2)
-def _ids(path: str) -> _Ids:
-    return _Ids(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str], end: int = END) -> list[bytes]:
+        parts = [cut(t) for t in texts]
+        wanted = set(chain.from_iterable(parts))
+        missing = wanted - self.known.keys()
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known, missing = {}, wanted
+        missing = list(missing)
+        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        self.known.update(zip(missing, (struct.pack(f"<{len(e)}I", *e.ids) for e in found)))
+        last, get = int(end).to_bytes(4, "little"), self.known.__getitem__
+        out = [b"".join(map(get, p)) + last for p in parts]
+        if any(len(w) > LONGEST_REMEMBERED for w in missing):
+            self.known = {w: i for w, i in self.known.items() if len(w) <= LONGEST_REMEMBERED}
+        return out
 
 
-def encode(text: str, path: str, end: int = END) -> bytes:
-    """The ids of a whole text and the end token, each as four little-endian bytes."""
-    return b"".join(map(_ids(path).__getitem__, WORDS.findall(text))) + int(end).to_bytes(4, "little")
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -78,8 +95,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def run(batches):
         for batch in slices(batches):
             row, piece, length, crc, ids = [], [], [], [], []
-            for i, text in enumerate(utf8(batch.column("text")).to_pylist()):
-                stream = encode(text, path, end)
+            for i, stream in enumerate(_encoder(path).encode(utf8(batch.column("text")).to_pylist(), end)):
                 for k, at in enumerate(range(0, len(stream), 4 * capacity)):
                     part = stream[at : at + 4 * capacity]
                     row.append(i)
