@@ -12,13 +12,17 @@ from quillmine.plans.common import corpus, questions, table
 K = 10
 
 
+def _rank():
+    return F.col("rank").cast("long").alias("rank")
+
+
 def _overlap(spark, sf_dir):
     return lexical.keyword_scores(lexical.postings(corpus(spark, sf_dir), any_script=False), questions(spark, sf_dir), ["qid"], any_script=False)
 
 
 def keyword_overlap_topk(spark, sf_dir):
     found = lexical.top(_overlap(spark, sf_dir), ["qid"], K)
-    return found.select("qid", "ordinal", F.round("score", 6).alias("score"), "rank")
+    return found.select("qid", "ordinal", F.round("score", 6).alias("score"), _rank())
 
 
 def bm25_stats(spark, sf_dir):
@@ -33,7 +37,7 @@ def _bm25(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return lexical.top(_bm25(spark, sf_dir), ["qid"], K).select("qid", "ordinal", F.round("score", 6).alias("score"), "rank")
+    return lexical.top(_bm25(spark, sf_dir), ["qid"], K).select("qid", "ordinal", F.round("score", 6).alias("score"), _rank())
 
 
 def _vectors(metric):
@@ -41,7 +45,7 @@ def _vectors(metric):
         """Queries are the vectors whose id is divisible by 50."""
         rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ordinal"), F.col("embedding").cast("array<double>").alias("vector"))
         found = vectors.nearest(rows, rows.where("ordinal % 50 = 0").withColumnRenamed("ordinal", "qid"), K, metric)
-        return found.select("qid", "ordinal", "rank", F.round(vectors.relevance(F.col("distance"), metric), 5).alias("relevance"))
+        return found.select("qid", "ordinal", _rank(), F.round(vectors.relevance(F.col("distance"), metric), 5).alias("relevance"))
 
     return query
 
@@ -52,11 +56,11 @@ def _evidence(spark, sf_dir):
 
 
 def dedup_evidence(spark, sf_dir):
-    return fusion.deduplicate(_evidence(spark, sf_dir), K).select("qid", "rank", "document", F.round("score", 6).alias("score"), F.sha2("text", 256).alias("sha256"))
+    return fusion.deduplicate(_evidence(spark, sf_dir), K).select("qid", _rank(), "document", F.round("score", 6).alias("score"), F.sha2("text", 256).alias("sha256"))
 
 
 def diversify_rounds(spark, sf_dir):
-    return fusion.diversify(_evidence(spark, sf_dir), K, 2).select("qid", "rank", "document", F.round("score", 6).alias("score"), F.sha2("text", 256).alias("sha256"))
+    return fusion.diversify(_evidence(spark, sf_dir), K, 2).select("qid", _rank(), "document", F.round("score", 6).alias("score"), F.sha2("text", 256).alias("sha256"))
 
 
 def rrf_fusion(spark, sf_dir):
@@ -72,7 +76,7 @@ def rrf_fusion(spark, sf_dir):
 
 def hybrid_retrieval(spark, sf_dir):
     found = retrieve(questions(spark, sf_dir), corpus(spark, sf_dir), Settings(), any_script=False)
-    return found.select("qid", "rank", "document", "page", F.round("score", 6).alias("score"))
+    return found.select("qid", _rank(), "document", "page", F.round("score", 6).alias("score"))
 
 
 def citation_labels(spark, sf_dir):
