@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmine.sources.shipping import ship
+
 #: Words are runs of anything but ASCII white space.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -19,6 +21,7 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
