@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from hashlib import sha256
-from urllib.parse import urldefrag, urljoin
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -176,7 +176,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 #: The block that holds a listing, the headings that open and close its part for majors, and class names.
 CONTENT_ID, TITLE_CLASS, ITEM_CLASS, ITEM_TITLE_CLASS = "print-content", "page-title", "list-content", "list-title"
 OPENING, CLOSING = "主修课程规定", ("双主修课程", "副修课程规定")
-INDEX_LINK = r"https?://registry\.cuhk\.edu\.cn/page/\d+"
+NUMBERED_PAGE = r"/page/\d+"
 _PDF_NAME = re.compile(r"([^/\\]+\.pdf)\s*$", re.IGNORECASE)
 
 
@@ -193,8 +193,9 @@ def _content(html: str) -> markup.Node | None:
 
 
 def major_links(html: str, base: str) -> list[tuple[str, str]]:
-    """(label, url) of the links to numbered pages in the part for majors, each url once."""
+    """(label, url) of the links to numbered pages of the same host in the part for majors, each url once."""
     content, on, out = _content(html), False, {}
+    wanted = f"https?://{re.escape(urlsplit(base).netloc)}{NUMBERED_PAGE}"
     if content is None:
         return []
     for item in content.walk():
@@ -203,7 +204,7 @@ def major_links(html: str, base: str) -> list[tuple[str, str]]:
             on = text == OPENING or (on and text not in CLOSING)
         elif item.name == "a" and item.attributes.get("href") and on:
             label, url = _strings(item), urljoin(base, item.attributes["href"])
-            if label and re.fullmatch(INDEX_LINK, url):
+            if label and re.fullmatch(wanted, url):
                 out.setdefault(url, label)
     return [(label, url) for url, label in out.items()]
 

@@ -71,15 +71,15 @@ def test_robots(spark):
     assert [r[0] for r in rows.select(crawling.robots_allow(F.col("u"), F.col("s"), F.col("r"))).collect()] == [False, True, True, False, False]
 
 
-LISTING = """<div id="print-content"><h2 class="page-title">Fin<b>ance</b></h2><h3>主修课程规定</h3><a href="/page/12">A</a><a href="https://registry.cuhk.edu.cn/page/12">B</a><a href="/x">no</a>
+LISTING = """<div id="print-content"><h2 class="page-title">Fin<b>ance</b></h2><h3>主修课程规定</h3><a href="/page/12">A</a><a href="https://registry.example.edu/page/12">B</a><a href="/x">no</a>
 <h3>副修课程规定</h3><a href="/page/13">C</a><div class="list-content"><a href="/f/1.pdf"><div class="list-title">2023至24 Finance.pdf</div></a><div>small</div></div>
 <div class="list-content"><a href="/f/2"><span>not a file</span></a></div></div><a href="/page/99">out</a>"""
 
 
 def test_listing(spark):
-    base = "https://registry.cuhk.edu.cn/page/22"
-    assert html.major_links(LISTING, base) == [("A", "https://registry.cuhk.edu.cn/page/12")]
-    assert html.listed_documents(LISTING, base) == ("Finance", [("https://registry.cuhk.edu.cn/f/1.pdf", "2023至24 Finance.pdf")])
+    base = "https://registry.example.edu/page/22"
+    assert html.major_links(LISTING, base) == [("A", "https://registry.example.edu/page/12")]
+    assert html.listed_documents(LISTING, base) == ("Finance", [("https://registry.example.edu/f/1.pdf", "2023至24 Finance.pdf")])
     row = html.listings(spark.createDataFrame([(base, LISTING)], "url string, html string")).first()
     assert row.title == "Finance" and len(row.documents) == 1
 
