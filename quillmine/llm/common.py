@@ -17,6 +17,9 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows of documents go to Python in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
+#: Rows that cross between the JVM and Python at once, unless the session sets its own number; the default of 10,000 whole texts takes memory on both sides.
+BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -34,6 +37,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose batches for Python are small; a number that the session was given stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, BATCH_ROWS)
+    return df
+
+
 def persist(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back."""
     spark = df.sparkSession

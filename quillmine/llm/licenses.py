@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmine.llm.common import slices, utf8
+from quillmine.llm.common import slices, small_batches, utf8
 
 #: Sentences of public licence texts and notices, as identifier and wording.
 SENTENCES = [
@@ -186,4 +186,4 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [[dict(zip(("licence", "start", "end", "rule", "sentences"), m)) for m in scanner.scan(t)] for t in utf8(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, arrow)], ["doc_id", "matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, matches array<{item}>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, matches array<{item}>")

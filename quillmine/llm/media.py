@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmine.llm import webp
-from quillmine.llm.common import slices, utf8
+from quillmine.llm.common import slices, small_batches, utf8
 
 ROW = 64
 LEAST_LINE = 24
@@ -82,7 +82,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "payload_bytes", "media"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, media binary")
 
 
 def decode_media(stored: DataFrame) -> DataFrame:

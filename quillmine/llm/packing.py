@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import WORDS, persist, slices, utf8
+from quillmine.llm.common import WORDS, persist, slices, small_batches, utf8
 from quillmine.llm.ranks import ranked
 
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces whose ids a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 
 
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", F.monotonically_increasing_id().alias("copy"), "text").mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:

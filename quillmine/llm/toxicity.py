@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import slices, utf8
+from quillmine.llm.common import slices, small_batches, utf8
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ц": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g"}
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     The sample is drawn by a hash of the id, copies of one text count once, and each half of it
     calibrates the curve with the entries that the other half gives.
     """
+    small_batches(docs)
     marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     total = marked.count()
     share = min(1.0, sample_rows / max(1, total))
@@ -174,13 +175,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
 
 
 def _count(batches):
-    positive, negative = [Counter(), Counter()], [Counter(), Counter()]
+    """Counts of entries, given out as soon as many are held."""
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+    held: Counter = Counter()
+
+    def flush():
+        keys = list({(e, h) for e, h, _ in held})
+        for at in range(0, len(keys), 20_000):
+            rows = [(e, h, held[e, h, 1], held[e, h, 0]) for e, h in keys[at : at + 20_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["entry", "half", "p", "n"])
+        held.clear()
+
     for batch in batches:
         for text, label, half in zip(*(c.to_pylist() for c in batch.columns)):
-            (positive if label else negative)[half].update(features(fold(text)))
-    out = [(e, h, positive[h][e], negative[h][e]) for h in (0, 1) for e in positive[h].keys() | negative[h].keys()]
-    for at in range(0, len(out), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 50_000]), (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["entry", "half", "p", "n"])
+            held.update((e, half, int(bool(label))) for e in features(fold(text)))
+            if len(held) > 150_000:
+                yield from flush()
+    yield from flush()
 
 
 def _phrases(sample: DataFrame, weights: dict[str, float], least: int = 5) -> tuple[str, ...]:
@@ -224,7 +235,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, k
     """The columns in `keep` of every row, its score in 0..1, the strongest entry's weight, and predicted (1 from the threshold on)."""
     keep = list(keep)
     columns = list(dict.fromkeys([*keep, "text"]))
-    source = docs.select(*columns)
+    source = small_batches(docs).select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + ", score double, strongest double, predicted int"
 
     def run(batches):
