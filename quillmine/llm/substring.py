@@ -6,7 +6,7 @@ the number of places at which an anchor is chosen is never below the number of i
 Pass one counts the chosen places of all documents in count-min sketches, one for each task,
 as sparse lists of cells; they are merged cell by cell and keep "once" and "more than once".
 Pass two emits only windows whose anchor the merged sketch puts at more than one place and
-groups them exactly, by 128 bits of the word sequence: every window but the first in the order of
+groups them exactly, by 96 bits of the word sequence: every window but the first in the order of
 (doc_id, start) is a repeat. A sketch that is too full lets more windows through; it loses none.
 
 The merged sketch is broadcast. Its size follows the number of words, up to 2 ** `most_bits` bits
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmine.llm.common import WORDS, persist, slices, utf8
+from quillmine.llm.common import WORDS, slices, small_batches, utf8
 from quillmine.llm.wordhash import mix, rolling, text_bytes, word_hashes, word_spans
 
 LENGTH = 20
@@ -38,6 +38,7 @@ ROWS = 2
 _CHUNK = 1 << 20
 _SHARD = 16
 _FLUSH = 400_000
+_SLICE = 2 << 20
 _U = np.uint64
 
 
@@ -86,7 +87,7 @@ def _sketch(length: int, bits: int):
 
     def run(batches):
         held, n = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, "text", _SLICE):
             data, offsets = text_bytes(utf8(batch.column(0)))
             starts, ends, docs = word_spans(data, offsets)
             words = word_hashes(data, starts, ends, 1)
@@ -161,7 +162,7 @@ def _windows(maps, bits: int, length: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.where(late, mix(h1[p] ^ mix(doc[p].view(np.uint64)) ^ start[p].astype(np.uint64)), h1[p]).view(np.int64)),
-                    pa.array(h2[p].view(np.int64)),
+                    pa.array(h2[p]),
                     pa.array(doc[p], mask=null[p]),
                     pa.array(text[p]),
                     pa.array(start[p]),
@@ -173,7 +174,7 @@ def _windows(maps, bits: int, length: int):
 
     def run(batches):
         bitmaps, held, n = maps.value, [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, "text", _SLICE):
             ids = batch.column("doc_id")
             null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             key = batch.column("text_key").to_numpy(zero_copy_only=False)
@@ -192,7 +193,8 @@ def _windows(maps, bits: int, length: int):
                 if second is None:
                     second = word_hashes(data, starts, ends, 2)
                 stop = at + len(whole) + length - 1
-                h1, h2 = rolling(words[at:stop], length, 21)[at_hot], rolling(second[at:stop], length, 22)[at_hot]
+                h1 = rolling(words[at:stop], length, 21)[at_hot]
+                h2 = (rolling(second[at:stop], length, 22)[at_hot] >> _U(32)).astype(np.uint32).view(np.int32)
                 d = docs[at + at_hot]
                 held.append((h1, h2, ids[d], null[d], key[d], (at + at_hot - first_word[d]).astype(np.int32)))
                 n += len(at_hot)
@@ -207,11 +209,11 @@ def _windows(maps, bits: int, length: int):
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, most_bits: int = MOST_BITS) -> DataFrame:
     """For each document (doc_id, text_key) with a repeated window, the runs of starts of those windows."""
-    texts = docs.select("text").where("text is not null")
+    texts = small_batches(docs).select("text").where("text is not null")
     maps, bits = sketch(texts, length, most_bits)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where("text is not null")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_key"), "text").where("text is not null")
     shared = docs.sparkSession.sparkContext.broadcast(maps)
-    windows = keyed.mapInArrow(_windows(shared, bits, length), "h1 long, h2 long, doc_id long, text_key long, start int, run int, later boolean")
+    windows = keyed.mapInArrow(_windows(shared, bits, length), "h1 long, h2 int, doc_id long, text_key int, start int, run int, later boolean")
     # Rows of one document at one start are one window; a dense rank keeps repeated rows together.
     order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "text_key", "start")
     ranked = windows.withColumn("place", F.dense_rank().over(order)).where("later or place > 1")
@@ -245,7 +247,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most_bits: int = MOST_
     """All columns of docs with n_words, n_removed and kept: the words that no repeated window covers, joined by one space."""
     repeats = repeated_starts(docs, length, most_bits)
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
-    left = docs.select(*keep, F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__key")).alias("d")
+    left = docs.select(*keep, F.col("doc_id").cast("long").alias("__id"), F.hash("text").alias("__key")).alias("d")
     right = repeats.select(F.col("doc_id").alias("__rid"), F.col("text_key").alias("__rkey"), "starts", "runs")
     joined = left.join(right, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__key") == F.col("__rkey")), "left")
     joined = joined.select(*(F.col(f"d.`{c}`") for c in keep), "starts", "runs")
