@@ -47,3 +47,13 @@ def test_odd_rows(spark):
             rows = stage(spark, rows, SF)
             assert rows.columns == DOCUMENT_COLUMNS
         corpus_pipeline.pack_sequences(spark, rows, SF).collect()
+
+
+def test_mixing_stage_keeps_every_document(spark):
+    r = rng(9)
+    names = ["hot"] * 600 + [f"s{k % 5}" for k in range(400)]
+    docs = frame(spark, [words_text(r, 8) for _ in names], lambda i: names[i])
+    rows = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF).collect()
+    assert sorted(x.doc_id for x in rows) == list(range(1000))
+    last = max(k for k, x in enumerate(rows) if x.source != "hot") + 1
+    assert abs((last - 400) / last - mixing.MOST_SHARE) < 0.04 and all(x.source == "hot" for x in rows[last:])
