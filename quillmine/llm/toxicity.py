@@ -1,7 +1,7 @@
 """Toxicity scores from a weighted lexicon that is matched by Aho-Corasick.
 
 Texts are folded first (compatibility forms, case, homoglyphs, digits and signs that stand
-for letters), so that one entry matches its disguises. Entries are whole words or word
+for letters; l becomes i, as 1, | and ! stand for either), so that one entry matches its disguises. Entries are whole words or word
 beginnings with a log-odds weight learnt from labelled rows; an exception phrase takes back
 the weight of the entries inside it. A logistic curve over the strongest entry and the
 matched weight, each also normalised by length, gives the score.
@@ -34,7 +34,8 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 HIDDEN = "­​‌‍⁠﻿"
 
-_LETTERS = str.maketrans(HOMOGLYPHS | DIGITS | {c: None for c in HIDDEN})
+#: 1, | and ! may stand for i or l, so both are one letter in folded texts and entries.
+_LETTERS = str.maketrans({c: "i" if x == "l" else x for c, x in (HOMOGLYPHS | DIGITS | {"l": "l"}).items()} | {c: None for c in HIDDEN})
 _SIGN = re.compile(r"(?<=[^\W_])[@$!|€](?=[^\W_])")
 _GAP = re.compile(r"[\W_]+")
 

@@ -44,6 +44,15 @@ def test_disguises_and_length(model):
     assert model.signals("kindly snarvile")[0] == 0 < model.signals("old snarvile")[0]
 
 
+def test_one_and_bar_stand_for_l_and_i(model):
+    hit = model.signals("so zorgle you")
+    for text in ("so z0rg1e you", "so zorg|e you", "so zorg!e you", "so ZORGIE you"):
+        assert model.signals(text)[0] == hit[0], text
+    start = toxicity.ToxicityModel({toxicity.fold("clown"): 1.0, toxicity.fold("loser"): 1.0})
+    assert all(start.signals(t)[0] == 1.0 for t in ("a clown", "a c1own", "a c|own", "a c!own", "a 1oser", "a lоser", "a ӏoser"))
+    assert start.signals("a crown")[0] == 0
+
+
 def test_given_exceptions(spark):
     docs, labels = corpus(spark)
     told = toxicity.fit(docs, labels, exceptions=["zorgle grass"])
