@@ -8,6 +8,11 @@ other estimates containment, also between very unequal documents.
 Shingles are five words; a shorter text is one shingle, a text without words has none and an empty
 sketch. Containment of two empty sketches is 1, of an empty and another one 0.
 
+A text of n shingles has no hash below the threshold with chance (1 - 1 / SCALE) ** n: 0.75 for a text of up to
+five words, 0.06 at 10 shingles, below 0.0001 from 33 on. Its smallest hash then stands in, so that no text with words has
+an empty sketch, and equal stand-ins still mean a shared shingle; but the sketch says nothing else of
+containment, so `near` compares such texts by all of their shingles.
+
 Defined results for neighbours: a null text is empty. The order is doc_id descending, null ids last, ties by text
 hash; each row has one next row, and the last one's next is the first. Other columns are not read.
 """
@@ -28,7 +33,7 @@ MOST_BUCKETS = 4_000
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct 32-bit values of the kept hashes (those below 1 / scale of the range) of a text."""
+    """Sorted distinct kept hashes (those below 1 / scale of the range) of a text; the smallest one if it has none there."""
     words = F.filter(F.split(text, WORD_SPLIT), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
@@ -38,12 +43,26 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
             F.transform(F.sequence(F.lit(0), F.size(h) - shingle), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(shingle)))),
         ).otherwise(F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
 
-    last = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
     # An array of one element lets a lambda name the hashes once.
-    kept = F.transform(F.array(hashes), lambda h: F.filter(shingles(h), lambda x: x <= last))[0]
+    kept = F.transform(F.transform(F.array(hashes), shingles), lambda s: _below(s, scale))[0]
     return F.sort_array(F.array_distinct(kept))
 
 
+def _last(scale: int) -> Column:
+    return F.lit(-(1 << 63) + (1 << 64) // scale - 1)
+
+
+def _below(hashes: Column, scale: int) -> Column:
+    """The hashes up to the threshold, or the smallest one if there are none; an empty array stays empty."""
+    kept = F.transform(F.array(F.filter(hashes, lambda x: x <= _last(scale))), lambda k: F.when(F.size(k) > 0, k).otherwise(F.filter(F.array(F.array_min(hashes)), lambda x: x.isNotNull())))
+    return kept[0]
+
+
+def stands_in(values: Column, scale: int = SCALE) -> Column:
+    """Whether a sketch is only a stand-in: its text has words but no hash up to the threshold."""
+    return F.coalesce(F.get(values, F.lit(0)) > _last(scale), F.lit(False))
+
+
 def as_text(values: Column) -> Column:
     return F.lower(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFFFF))), 10, "0")), ""))
 
@@ -55,9 +74,15 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, shared / least).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def merged(sketches: Column) -> Column:
+def near(text: Column, values: Column, other: Column, other_values: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """Containment of two texts by their sketches, or by all of their shingles where a sketch is a stand-in."""
+    whole = containment(sketch(text, shingle, 1), sketch(other, shingle, 1))
+    return F.when(stands_in(values, scale) | stands_in(other_values, scale), whole).otherwise(containment(values, other_values))
+
+
+def merged(sketches: Column, scale: int = SCALE) -> Column:
     """The sketch of all texts of a group, as an aggregate."""
-    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(sketches))))
+    return F.sort_array(_below(F.array_distinct(F.flatten(F.collect_set(sketches))), scale))
 
 
 def range_limits(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> list[int]:

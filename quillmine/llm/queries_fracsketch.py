@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmine.llm.common import table
-from quillmine.llm.fracsketch import as_text, containment, neighbours, sketch
+from quillmine.llm.fracsketch import as_text, near, neighbours, sketch
 
 
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        containment(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        containment(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        near(F.col("text"), F.col("fp"), F.col("edited"), F.col("edited_fp")).alias("near_edited"),
+        near(F.col("text"), F.col("fp"), F.col("next_text"), F.col("next_fp")).alias("near_next"),
     )
 
 

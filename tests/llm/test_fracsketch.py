@@ -44,6 +44,29 @@ def test_containment_is_estimated(spark):
     assert abs(mixed - 0.25) < 0.08
 
 
+def test_short_texts_are_compared_whole(spark):
+    """Of 60 different short texts most have no hash below the threshold; their sketches differ, and containment is exact."""
+    r = rng(8)
+    texts = [words_text(r, 6) for _ in range(60)]  # two shingles
+    long = " ".join([*texts[0].split(), words_text(r, 500)])
+    pairs = [(t, u) for t, u in zip(texts, texts[1:])] + [(t, t) for t in texts] + [(t, f"{t} more") for t in texts] + [(texts[0], long), ("", texts[0]), ("", "")]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").withColumn("x", fracsketch.sketch(F.col("a"))).withColumn("y", fracsketch.sketch(F.col("b")))
+    got = rows.withColumn("near", fracsketch.near(F.col("a"), F.col("x"), F.col("b"), F.col("y"))).withColumn("alone", fracsketch.stands_in(F.col("x"))).orderBy("k").collect()
+    assert sum(g.alone for g in got[:59]) > 20 and all(len(g.x) >= 1 for g in got[:59]) and len({tuple(g.x) for g in got[59:119]}) == 60
+    assert [g.near for g in got[:59]] == [0.0] * 59 and [g.near for g in got[59:]] == [1.0] * 121 + [0.0, 1.0]
+
+
+def test_merged_stand_ins(spark):
+    r = rng(11)
+    texts = [(k % 9, words_text(r, 5 + k % 3)) for k in range(27)]
+    rows = spark.createDataFrame(texts, "g int, t string")
+    every = rows.select("g", F.explode(fracsketch.sketch(F.col("t"), scale=1)).alias("h")).groupBy("g").agg(F.collect_set("h").alias("h")).collect()
+    last = -(1 << 63) + (1 << 62) - 1
+    want = {x.g: sorted(h for h in x.h if h <= last) or [min(x.h)] for x in every}
+    got = rows.withColumn("s", fracsketch.sketch(F.col("t"))).groupBy("g").agg(fracsketch.merged(F.col("s")).alias("s")).collect()
+    assert {x.g: x.s for x in got} == want
+
+
 def test_merging(spark):
     r = rng(7)
     a, b = words_text(r, 300), words_text(r, 300)
