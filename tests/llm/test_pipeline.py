@@ -1,5 +1,5 @@
 import corpus_pipeline
-from quillmine.llm import mixing, simhash, substring
+from quillmine.llm import mixing, nearcopies, substring
 from quillmine.llm.common import DOCUMENT_COLUMNS
 from tests.llm.helpers import frame, odd_docs, rng, words_text
 
@@ -14,9 +14,9 @@ def test_stages_in_order(spark):
     clean = corpus_pipeline.drop_toxic(spark, docs, SF)
     kept = {r.doc_id for r in clean.collect()}
     assert clean.columns == DOCUMENT_COLUMNS and kept <= before and len(before - kept) < 3 * len(marked) + 5
-    unique = corpus_pipeline.drop_near_duplicates(spark, clean, SF)
-    heads = {r.component_id for r in simhash.near_duplicates(clean).collect()}
-    assert {r.doc_id for r in unique.collect()} == heads and unique.columns == DOCUMENT_COLUMNS
+    unique = corpus_pipeline.drop_near_copies(spark, clean, SF)
+    heads = {r.doc_id for r in unique.collect()}
+    assert heads == {r.doc_id for r in nearcopies.keep_first(clean).collect()} < kept and unique.columns == DOCUMENT_COLUMNS
     cut = corpus_pipeline.drop_repeated_passages(spark, unique, SF)
     want = {r.doc_id: (r.kept if r.n_removed else r.text) for r in substring.remove_repeats(unique).collect()}
     assert {r.doc_id: r.text for r in cut.collect()} == want and cut.columns == DOCUMENT_COLUMNS
