@@ -15,26 +15,26 @@ rows with a null doc_id too. Other columns are not read.
 from __future__ import annotations
 
 import os
-import re
-import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import WORDS, persist, slices, small_batches, utf8
+from quillmine.llm.common import persist, slices, small_batches, utf8
 from quillmine.llm.ranks import ranked
+from quillmine.llm.wordhash import text_bytes
 
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces whose ids a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 300_000
+#: Pieces in each of the two generations that a worker remembers; bounds memory, not results.
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
+#: What ends a word's last token in the vocabulary.
+WORD_END = "</w>"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -43,43 +43,128 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Texts of these characters alone are cut as the tokenizer cuts them: lower case, then letters, single digits and runs of signs.
-#: They have no combining marks, and no character whose lower case is another number of characters.
-_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
-_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
+# Texts of white space, ASCII signs, letters and digits, and the letters U+00C0 to U+017F alone are plain: the tokenizer lowers them, then takes letters,
+# single digits and runs of signs. They have no combining marks, and all their lower-case forms but that of U+0130 have as many bytes.
+_SPACE, _SIGN, _DIGIT, _LETTER, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[9, 10, 13, 32]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[0x80:0xC0] = _KIND[0xC3:0xC6] = _LETTER
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+_SMALL_FORM = np.array([ord(chr(c).lower()[0]) for c in range(0x180)], np.uint16)
+#: Ends that the tokenizer takes together with the apostrophe before them.
+_CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def plain_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text is plain and without the beginning of a special token."""
+    after = np.append(data[1:], np.uint8(0))
+    odd = (_KIND[data] == _OTHER) | ((data == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((data == 0xC4) & (after == 0xB0)) | ((data == 60) & (after == 124))
+    out = np.ones(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1] = False
+    return out
 
 
-def cut(text: str) -> list[str]:
-    """Pieces of a text that the tokenizer encodes one by one, never across their ends: its own pieces of a plain text, else what stands between white space."""
-    if "<|" not in text and _PLAIN.fullmatch(text):
-        return _PLAIN_PIECES.findall(text.lower())
-    return WORDS.findall(text)
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plain texts in lower case, and the start and end of each piece that the tokenizer encodes by itself."""
+    data = _SMALL[data]
+    lead = np.flatnonzero(data >= 0xC3)
+    code = _SMALL_FORM[((data[lead].astype(np.uint16) & 0x1F) << 6) | (data[lead + 1] & 0x3F)]
+    data[lead], data[lead + 1] = 0xC0 | (code >> 6), 0x80 | (code & 0x3F)
+    kind = _KIND[data]
+    begins = np.ones(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    texts = np.zeros(len(data) + 1, bool)
+    texts[offsets] = True
+    begins |= texts[:-1]
+    mark = np.flatnonzero((data == 39) & begins)
+    padded = np.append(data, np.zeros(3, np.uint8))
+    edge = np.append(texts, np.ones(3, bool))
+    for end in _CONTRACTIONS:
+        found = np.ones(len(mark), bool)
+        for k, c in enumerate(end.encode(), 1):
+            found &= (padded[mark + k] == c) & ~edge[mark + k]
+        own = mark[found]
+        begins[own + 1] = False
+        rest = own + len(end) + 1
+        begins[rest[rest < len(data)]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    word = kind[starts] != _SPACE
+    return data, starts[word], ends[word]
 
 
 class Encoder:
-    """Ids of texts, as four little-endian bytes each, by the ids of their pieces. Unknown pieces are encoded together."""
+    """Ids of texts by the ids of their pieces. Unknown pieces are encoded together; other texts than plain ones whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: int = END) -> list[bytes]:
-        parts = [cut(t) for t in texts]
-        wanted = set(chain.from_iterable(parts))
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known, missing = {}, wanted
-        missing = list(missing)
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.known.update(zip(missing, (struct.pack(f"<{len(e)}I", *e.ids) for e in found)))
-        last, get = int(end).to_bytes(4, "little"), self.known.__getitem__
-        out = [b"".join(map(get, p)) + last for p in parts]
-        if any(len(w) > LONGEST_REMEMBERED for w in missing):
-            self.known = {w: i for w, i in self.known.items() if len(w) <= LONGEST_REMEMBERED}
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode_pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of each piece: those of all of them in one text, cut where a word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        held = ids.astype("<u4").tobytes()
+        return [held[a:b] for a, b in zip([0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist())]
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, four little-endian bytes each."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        unknown = []
+        for i in missing:
+            x = found[i] = old.get(words[i])
+            if x is None:
+                unknown.append(i)
+        for i, x in zip(unknown, self._encode_pieces([words[i] for i in unknown]) if unknown else ()):
+            found[i] = x
+        young.update((words[i], found[i]) for i in missing if len(words[i]) <= LONGEST_REMEMBERED)
+        return found
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        data, starts, ends = cut(data, offsets)
+        size = ends - starts
+        place = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(size, out=place[1:])
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(place), pa.py_buffer(data[_KIND[data] != _SPACE])).dictionary_encode()
+        ids = self.ids_of(pieces.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(length) - length
+        table = np.frombuffer(b"".join(ids), "<u4")
+        which = pieces.indices.to_numpy()
+        n = length[which]
+        begin = np.cumsum(n) - n
+        out = table[np.repeat(first[which] - begin, n) + np.arange(int(n.sum()))] if len(which) else table
+        edges = np.append(begin, len(out))[np.searchsorted(starts, offsets)]
+        return [out[a:b] for a, b in zip(edges, edges[1:])]
+
+    def encode(self, text: pa.Array, end: int = END) -> list[np.ndarray]:
+        """The ids of each text and the end token."""
+        data, offsets = text_bytes(utf8(text))
+        plain = plain_texts(data, offsets)
+        size = np.diff(offsets)
+        kept = np.concatenate([[0], np.cumsum(size[plain])])
+        own = iter(self._plain(data if plain.all() else data[np.repeat(plain, size)], kept))
+        odd = text.filter(pa.array(~plain)).to_pylist()
+        others = (np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in odd)
+        last = np.array([end], np.uint32)
+        return [np.concatenate([next(own if p else others), last]) for p in plain]
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +180,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def run(batches):
         for batch in slices(batches):
             row, piece, length, crc, ids = [], [], [], [], []
-            for i, stream in enumerate(_encoder(path).encode(utf8(batch.column("text")).to_pylist(), end)):
+            for i, stream in enumerate(_encoder(path).encode(utf8(batch.column("text")), end)):
+                stream = stream.astype("<u4").tobytes()
                 for k, at in enumerate(range(0, len(stream), 4 * capacity)):
                     part = stream[at : at + 4 * capacity]
                     row.append(i)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmine.llm.common import table
-from quillmine.llm.mixing import block_counts, capped_mix, interleave
+from quillmine.llm.mixing import places
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return interleave(docs, capped_mix(block_counts(docs)))
+    return places(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 QUERIES = {"op4_pfair_mixing": op4_pfair_mixing}

@@ -43,6 +43,7 @@ PREFIXES = (4, 5, 6)
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 LEAST_DOCS = 3
+#: Entries (and exception phrases) that a model keeps, those of the strongest evidence first; a fit with more evidence than that loses its weakest entries.
 MOST_ENTRIES = 4_000
 
 
@@ -74,9 +75,9 @@ class ToxicityModel:
     def automaton(self):
         return _automaton(tuple(self.weights.items()), self.exceptions)
 
-    def signals(self, text: str) -> tuple[float, float, float]:
-        """The strongest entry; the matched weight by the square root of the words, and by their number."""
-        automaton, folded = self.automaton(), fold(text)
+    def signals(self, text: str, automaton=None) -> tuple[float, float, float]:
+        """The strongest entry; the matched weight by the square root of the words, and by their number. Who has many texts gives the automaton."""
+        automaton, folded = automaton or self.automaton(), fold(text)
         if automaton is None:
             return 0.0, 0.0, 0.0
         hits: dict[int, float] = {}
@@ -130,7 +131,7 @@ def _logistic(signals: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> tup
     return tuple(float(b) for b in beta)
 
 
-def _weights(counts: Iterable[tuple[str, int, int]], positive: int, negative: int) -> dict[str, float]:
+def _weights(counts: Iterable[tuple[str, int, int]], positive: int, negative: int, most: int) -> dict[str, float]:
     """Entries whose log odds are high beyond doubt; of a family of beginnings with equal counts the longest says no more, so all stay and only the strongest counts at a place."""
     kept = []
     for entry, p, n in counts:
@@ -138,14 +139,14 @@ def _weights(counts: Iterable[tuple[str, int, int]], positive: int, negative: in
         sure = odds - 1.64 * math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
         if p >= LEAST_DOCS and sure > 0.7:
             kept.append((sure * math.sqrt(p), entry, sure))
-    return {entry: weight for _, entry, weight in sorted(kept, key=lambda k: (-k[0], k[1]))[:MOST_ENTRIES]}
+    return {entry: weight for _, entry, weight in sorted(kept, key=lambda k: (-k[0], k[1]))[:most]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, exceptions: Iterable[str] = ()) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, exceptions: Iterable[str] = (), most_entries: int = MOST_ENTRIES) -> ToxicityModel:
     """Learn entries, exception phrases and the curve from about `sample_rows` labelled rows (the documented bound of the fit).
 
     The sample is drawn by a hash of the id, copies of one text count once, and each half of it
-    calibrates the curve with the entries that the other half gives.
+    calibrates the curve with the entries that the other half gives. At most `most_entries` entries and as many phrases are kept.
     """
     small_batches(docs)
     marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -164,9 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
         positive, negative = ([size.get((h, y), 0) for h in (0, 1)] for y in (1, 0))
         if not sum(positive) or not sum(negative):
             return ToxicityModel()
-        everything = _weights([(r.entry, r.p0 + r.p1, r.n0 + r.n1) for r in counts], sum(positive), sum(negative))
-        other = [_weights([(r.entry, r[f"p{1 - h}"], r[f"n{1 - h}"]) for r in counts], positive[1 - h], negative[1 - h]) for h in (0, 1)]
-        phrases = tuple(fold(x) for x in exceptions) + _phrases(sample, everything)
+        everything = _weights([(r.entry, r.p0 + r.p1, r.n0 + r.n1) for r in counts], sum(positive), sum(negative), most_entries)
+        other = [_weights([(r.entry, r[f"p{1 - h}"], r[f"n{1 - h}"]) for r in counts], positive[1 - h], negative[1 - h], most_entries) for h in (0, 1)]
+        phrases = tuple(fold(x) for x in exceptions) + _phrases(sample, everything, most_entries)
         models = [ToxicityModel(w, phrases) for w in other]
         rows = sample.mapInArrow(_signals(models), "label int, a double, b double, c double").collect()
         data = np.array([list(r) for r in rows], dtype=float)
@@ -195,7 +196,7 @@ def _count(batches):
     yield from flush()
 
 
-def _phrases(sample: DataFrame, weights: dict[str, float], least: int = 5) -> tuple[str, ...]:
+def _phrases(sample: DataFrame, weights: dict[str, float], most: int, least: int = 5) -> tuple[str, ...]:
     """Two-word phrases around an entry that only unmarked texts have, `least` of them at least."""
 
     def found(batches):
@@ -219,13 +220,14 @@ def _phrases(sample: DataFrame, weights: dict[str, float], least: int = 5) -> tu
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64()))], ["phrase", "label", "n"])
 
     counted = sample.mapInArrow(found, "phrase string, label int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum("label").alias("marked"))
-    return tuple(r.phrase for r in counted.where(f"marked = 0 and clean >= {least}").orderBy(F.desc("clean"), "phrase").limit(MOST_ENTRIES).collect())
+    return tuple(r.phrase for r in counted.where(f"marked = 0 and clean >= {least}").orderBy(F.desc("clean"), "phrase").limit(most).collect())
 
 
 def _signals(models: list[ToxicityModel]):
     def run(batches):
+        built = [m.automaton() for m in models]
         for batch in batches:
-            rows = [(y, *models[h].signals(t)) for t, y, h in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [(y, *models[h].signals(t, built[h])) for t, y, h in zip(*(c.to_pylist() for c in batch.columns))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.float64()] * 3))], ["label", "a", "b", "c"])
 
@@ -240,9 +242,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, k
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + ", score double, strongest double, predicted int"
 
     def run(batches):
+        automaton = model.automaton()
         for batch in slices(batches):
             texts = utf8(batch.column("text")).to_pylist()
-            signals = np.array([model.signals(t) for t in texts]).reshape(-1, 3)
+            signals = np.array([model.signals(t, automaton) for t in texts]).reshape(-1, 3)
             scores = model.score(signals)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(scores), pa.array(signals[:, 0]), pa.array((scores >= threshold).astype(np.int32))], [*keep, "score", "strongest", "predicted"]

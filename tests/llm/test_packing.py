@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,16 +24,20 @@ def test_encoding_is_the_tokenizers():
     r, letters = rng(1), "abcXYZ é'’sST.,!$#019 \n\tßŸİſ́日 ΣσŒ"
     texts = ODD + ["".join(r.choice(letters) for _ in range(r.randint(1, 40))) for _ in range(800)]
     plain = tokenizer()
-    for text, got in zip(texts, packing.Encoder(packing.tokenizer_path()).encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0], text
+    for text, got in zip(texts, packing.Encoder(packing.tokenizer_path()).encode(pa.array(texts))):
+        assert got.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0], text
 
 
 def test_forgetting(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
     encoder = packing.Encoder(packing.tokenizer_path())
-    first = encoder.encode(["one two three four", "five six"])
-    assert encoder.encode(["seven eight nine", "one two three four", "five six"])[1:] == first
-    assert encoder.encode(["z" * 100]) == packing.Encoder(packing.tokenizer_path()).encode(["z" * 100])
+    ids = lambda texts: [x.tolist() for x in encoder.encode(pa.array(texts))]
+    first = ids(["one two three four", "five six"])
+    assert ids(["seven eight nine", "one two three four", "five six"])[1:] == first
+    assert ids(["z" * 100]) == [x.tolist() for x in packing.Encoder(packing.tokenizer_path()).encode(pa.array(["z" * 100]))]
+    for _ in range(4):
+        assert ids(["seven eight", "one two three four", "five six"])[1:] == first
+    assert len(encoder.young) + len(encoder.old) < 30
 
 
 @settings(max_examples=150, deadline=None)
@@ -88,7 +93,7 @@ def test_packing_in_spark(spark):
         pieces.setdefault(x.doc_id, []).append(x)
     for i, own in pieces.items():
         own.sort(key=lambda x: x.piece)
-        assert b"".join(bytes(x.ids) for x in own) == whole.encode([texts[i] or ""])[0]
+        assert b"".join(bytes(x.ids) for x in own) == whole.encode(pa.array([texts[i] or ""]))[0].astype("<u4").tobytes()
         assert [x.piece for x in own] == list(range(len(own))) and all(x.length == 64 for x in own[:-1])
         assert all(x.start == 64 * x.piece and x.ids_crc32 == zlib.crc32(x.ids) for x in own)
     for s in packing.sequences(packed).collect():

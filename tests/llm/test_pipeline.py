@@ -20,8 +20,8 @@ def test_stages_in_order(spark):
     cut = corpus_pipeline.drop_repeated_passages(spark, unique, SF)
     want = {r.doc_id: (r.kept if r.n_removed else r.text) for r in substring.remove_repeats(unique).collect()}
     assert {r.doc_id: r.text for r in cut.collect()} == want and cut.columns == DOCUMENT_COLUMNS
-    mixed = corpus_pipeline.mix_sources(spark, cut, SF)
-    assert mixed.columns == DOCUMENT_COLUMNS and {r.doc_id for r in mixed.collect()} <= heads
+    mixed = corpus_pipeline.order_sources(spark, cut, SF)
+    assert mixed.columns == DOCUMENT_COLUMNS and {r.doc_id for r in mixed.collect()} == heads
     packed = corpus_pipeline.pack_sequences(spark, mixed, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
 
@@ -31,15 +31,6 @@ def test_run(spark):
     assert rows and all(r.offset + r.length <= 2048 for r in rows)
 
 
-def test_hot_source_is_held_to_its_share(spark):
-    r = rng(9)
-    names = ["hot"] * 600 + [f"s{k % 5}" for k in range(400)]
-    docs = frame(spark, [words_text(r, 8) for _ in names], lambda i: names[i])
-    rows = corpus_pipeline.mix_sources(spark, docs, SF).collect()
-    share = sum(x.source == "hot" for x in rows) / len(rows)
-    assert abs(share - mixing.MOST_SHARE) < 0.03 and sum(x.source != "hot" for x in rows) == 400
-
-
 def test_odd_rows(spark):
     docs = odd_docs(spark).select(*DOCUMENT_COLUMNS)
     for rows in (docs, docs.limit(0)):
