@@ -85,12 +85,13 @@ def target_documents(prepared: DataFrame, corpus: DataFrame) -> DataFrame:
     return named.withColumn("longest", F.max("size").over(Window.partitionBy("qid"))).where("size = longest").select("qid", "document").distinct()
 
 
-def keyword_backend(any_script: bool = True, postings: DataFrame | None = None) -> Backend:
-    """A model-free stand-in: the distance is one less the keyword overlap; rows without overlap are left out. Postings may be given."""
+def keyword_backend(any_script: bool = True, documents: DataFrame | None = None) -> Backend:
+    """A model-free stand-in: the distance is one less the keyword overlap; rows without overlap are left out. Tokenized documents may be given."""
 
     def search(asked: DataFrame, corpus: DataFrame) -> DataFrame:
-        found = lexical.postings(corpus, any_script) if postings is None else postings
-        scored = lexical.keyword_scores(found, asked, ["qid", "vno"], any_script)
+        found = lexical.tokenized(corpus, any_script) if documents is None else documents
+        most = asked.agg(F.max("k")).first()[0] or 1
+        scored = lexical.keyword_scores(found, asked, ["qid", "vno"], most, any_script)
         ranked = lexical.top(scored.join(asked.select("qid", "vno", "k"), ["qid", "vno"]), ["qid", "vno"], "k")
         return ranked.select("qid", "vno", "ordinal", (1 - F.col("score")).alias("distance"))
 
@@ -144,10 +145,10 @@ def vector_ranking(asked: DataFrame, corpus: DataFrame, backend: Backend, metric
 def lexical_ranking(prepared: DataFrame, asked: DataFrame, corpus: DataFrame, index: lexical.LexicalIndex, settings: Settings, any_script: bool = True) -> DataFrame:
     """The BM25 order of the first fetch_k chunks, with those below the keyword threshold left out and ranks closed up."""
     asked_tokens = asked.select("qid", F.explode(tokens(F.col("text"), any_script)).alias("token"))
-    first = lexical.top(lexical.bm25(index, asked_tokens).join(prepared.select("qid", "fetch_k"), "qid"), ["qid"], "fetch_k")
+    most = prepared.agg(F.max("fetch_k")).first()[0] or 1
+    first = lexical.top(lexical.bm25(index, asked_tokens, most).join(prepared.select("qid", "fetch_k"), "qid"), ["qid"], "fetch_k")
     first = persist(first.select("qid", "ordinal", F.col("rank").alias("place")), "lexical")
-    found = index.postings.join(first.select("ordinal").distinct(), "ordinal", "left_semi")
-    overlap = lexical.keyword_scores(found, asked, ["qid", "vno"], any_script).groupBy("qid", "ordinal").agg(F.max("score").alias("overlap"))
+    overlap = lexical.pair_scores(first, index.documents, asked, ["qid", "vno"], any_script).groupBy("qid", "ordinal").agg(F.max("score").alias("overlap"))
     kept = first.join(overlap, ["qid", "ordinal"]).where(F.col("overlap") >= settings.similarity_threshold)
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
     rows = kept.join(corpus, "ordinal").withColumn("page", _shown_page()).withColumn("document", F.coalesce("document", F.lit(fixed.UNKNOWN_DOCUMENT)))
@@ -172,7 +173,7 @@ def retrieve(
         prepared = prepared.join(hits.select("qid").distinct(), "qid", "left_anti")
     prepared, asked = persist(prepared, "questions"), persist(variants(prepared), "variants")
     index = lexical.build_index(corpus, any_script) if settings.hybrid_search or backend is None else None
-    search = backend or keyword_backend(any_script, index.postings)
+    search = backend or keyword_backend(any_script, index.documents)
     by_vector = vector_ranking(asked, corpus, search, settings.distance_metric).join(prepared.select("qid", "fetch_k"), "qid")
     fetched = by_vector.where(F.col("rank") <= F.col("fetch_k")).withColumn("strong", F.col("score") >= settings.similarity_threshold)
     lists = fetched.select("qid", F.lit(1).alias("list"), "rank", *fusion.KEY, "payload", "strong")

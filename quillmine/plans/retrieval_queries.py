@@ -16,12 +16,13 @@ def _rank():
     return F.col("rank").cast("long").alias("rank")
 
 
-def _overlap(spark, sf_dir):
-    return lexical.keyword_scores(lexical.postings(corpus(spark, sf_dir), any_script=False), questions(spark, sf_dir), ["qid"], any_script=False)
+def _overlap(spark, sf_dir, k, documents=None):
+    documents = lexical.tokenized(corpus(spark, sf_dir), any_script=False) if documents is None else documents
+    return lexical.keyword_scores(documents, questions(spark, sf_dir), ["qid"], k, any_script=False)
 
 
 def keyword_overlap_topk(spark, sf_dir):
-    found = lexical.top(_overlap(spark, sf_dir), ["qid"], K)
+    found = lexical.top(_overlap(spark, sf_dir, K), ["qid"], K)
     return found.select("qid", "ordinal", F.round("score", 6).alias("score"), _rank())
 
 
@@ -30,14 +31,14 @@ def bm25_stats(spark, sf_dir):
     return index.frequencies.select("token", F.round("idf", 6).alias("idf"))
 
 
-def _bm25(spark, sf_dir):
-    index = lexical.build_index(corpus(spark, sf_dir), any_script=False)
+def _bm25(spark, sf_dir, k, index=None):
+    index = index or lexical.build_index(corpus(spark, sf_dir), any_script=False)
     asked = questions(spark, sf_dir).select("qid", F.explode(lexical.tokens(F.col("text"), False)).alias("token"))
-    return lexical.bm25(index, asked)
+    return lexical.bm25(index, asked, k)
 
 
 def bm25_topk(spark, sf_dir):
-    return lexical.top(_bm25(spark, sf_dir), ["qid"], K).select("qid", "ordinal", F.round("score", 6).alias("score"), _rank())
+    return lexical.top(_bm25(spark, sf_dir, K), ["qid"], K).select("qid", "ordinal", F.round("score", 6).alias("score"), _rank())
 
 
 def _vectors(metric):
@@ -51,7 +52,7 @@ def _vectors(metric):
 
 
 def _evidence(spark, sf_dir):
-    found = lexical.top(_overlap(spark, sf_dir), ["qid"], 50)
+    found = lexical.top(_overlap(spark, sf_dir, 50), ["qid"], 50)
     return found.drop("rank").join(corpus(spark, sf_dir), "ordinal").select("qid", "document", F.lit(None).cast("int").alias("page"), "text", "score", "ordinal")
 
 
@@ -66,8 +67,8 @@ def diversify_rounds(spark, sf_dir):
 def rrf_fusion(spark, sf_dir):
     """The overlap list and the BM25 list of each question, fused."""
     rows = corpus(spark, sf_dir)
-    lists = None
-    for number, scored in ((1, _overlap(spark, sf_dir)), (2, _bm25(spark, sf_dir))):
+    index, lists = lexical.build_index(rows, any_script=False), None
+    for number, scored in ((1, _overlap(spark, sf_dir, 20, index.documents)), (2, _bm25(spark, sf_dir, 20, index))):
         ranked = lexical.top(scored, ["qid"], 20).select("qid", F.lit(number).alias("list"), "rank", "ordinal")
         lists = ranked if lists is None else lists.unionByName(ranked)
     keyed = lists.join(rows, "ordinal").select("qid", "list", "rank", "document", "page", "text", F.lit(0).alias("payload"))

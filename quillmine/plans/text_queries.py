@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmine.functions import fixed, text
-from quillmine.operators import answers, chunking, indexing, records
+from quillmine.operators import answers, chunking, indexing, lexical, records
 from quillmine.plans.common import table
 
 _SPACED = "replace(replace(text, ' ', '  '), chr(10), chr(13) || chr(10))"
@@ -18,9 +18,15 @@ def text_normalize(spark, sf_dir):
     return out.select("doc_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("sha256"))
 
 
+def _counted(n, d):
+    return lambda w: F.struct(w.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("d"))
+
+
 def tokenize_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"), any_script=False)).alias("token"))
-    return docs.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    """Tokens and each document's distinct tokens go through one aggregation."""
+    docs = lexical.spread(table(spark, sf_dir, "documents").select("text")).select(text.tokens(F.col("text"), any_script=False).alias("all"))
+    marked = [F.transform(c, _counted(n, d)) for c, n, d in (("all", 1, 0), (F.array_distinct("all"), 0, 1))]
+    return docs.select(F.explode(F.concat(*marked)).alias("x")).groupBy("x.token").agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("n_docs"))
 
 
 def detect_language(spark, sf_dir):

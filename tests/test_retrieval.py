@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from dataclasses import replace
 
@@ -31,9 +32,36 @@ def evidence(spark, rows):
 
 
 def test_keyword_scores(spark):
-    posts = lexical.postings(spark.createDataFrame([(0, "aa bb bb cc"), (1, ""), (2, "zz")], "ordinal long, text string"))
-    got = {r.ordinal: r.score for r in lexical.keyword_scores(posts, asked(spark, "aa bb bb bb"), ["qid"]).collect()}
-    assert got == {0: 0.75}
+    docs = lexical.tokenized(spark.createDataFrame([(0, "aa bb bb cc"), (1, ""), (2, "zz"), (3, None)], "ordinal long, text string"))
+    questions = asked(spark, "aa bb bb bb", "", "zz zz")
+    assert {(r.qid, r.ordinal): r.score for r in lexical.keyword_scores(docs, questions, ["qid"], 5).collect()} == {(0, 0): 0.75, (2, 2): 0.5}
+    pairs = spark.createDataFrame([(0, 0), (0, 2), (2, 2)], "qid long, ordinal long")
+    assert {(r.qid, r.ordinal): r.score for r in lexical.pair_scores(pairs, docs, questions, ["qid"]).collect()} == {(0, 0): 0.75, (2, 2): 0.5}
+    assert lexical.keyword_scores(docs.limit(0), questions, ["qid"], 5).count() == 0 == lexical.keyword_scores(docs, questions.limit(0), ["qid"], 5).count()
+
+
+def test_questions_in_batches(spark, monkeypatch):
+    """The same best rows, ties by ordinal, however questions and documents are cut."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(25))) for _ in range(90)]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "ordinal long, text string")
+    questions = asked(spark, *texts[:23])
+    index = lexical.build_index(corpus)
+    tokens = lexical.asked_tokens(questions, ["qid"])
+
+    def found():
+        return [sorted((x.qid, x.rank, x.ordinal, round(x.score, 9)) for x in lexical.top(s, ["qid"], 4).collect()) for s in (lexical.keyword_scores(index.documents, questions, ["qid"], 4), lexical.bm25(index, tokens, 4))]
+
+    want = found()
+    overlap = []
+    for q, text in enumerate(texts[:23]):
+        own = Counter(text.split())
+        scored = sorted((-sum((own & Counter(t.split())).values()) / max(1, sum(own.values())), d) for d, t in enumerate(texts))
+        overlap += [(q, k, d, round(-s, 9)) for k, (s, d) in enumerate((x for x in scored[:4] if x[0] < 0), 1)]
+    assert want[0] == overlap
+    monkeypatch.setattr(lexical, "QUESTIONS", 5)
+    monkeypatch.setattr(lexical, "DOCUMENTS", 7)
+    assert found() == want
 
 
 def test_bm25_against_plain_python(spark):
@@ -44,7 +72,7 @@ def test_bm25_against_plain_python(spark):
     idf = lambda t: math.log(1 + (4 - sum(t in w for w in words) + 0.5) / (sum(t in w for w in words) + 0.5))
     want = {k: sum(idf(t) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in ("aa", "dd")) for k, w in enumerate(words) if (c := Counter(w)) and ("aa" in c or "dd" in c)}
     tokens = spark.createDataFrame([(1, "aa"), (1, "dd"), (1, "aa"), (1, "nope")], "qid long, token string")
-    assert {r.ordinal: pytest.approx(r.score) for r in lexical.bm25(index, tokens).collect()} == want
+    assert {r.ordinal: pytest.approx(r.score) for r in lexical.bm25(index, tokens, 9).collect()} == want
 
 
 @pytest.mark.parametrize("metric, distance, wanted", [("cosine", 0.2, 0.8), ("cosine", -0.1, 1.0), ("cosine", 1.5, 0.0), ("l2", 1.0, 0.5), ("ip", 0.25, 0.75)])
