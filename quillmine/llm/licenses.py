@@ -1,11 +1,14 @@
 """Licence detection by sentence rules.
 
-Texts are cut into sentences, each sentence is normalised (case, punctuation, years and white space), and a table
-maps normalised sentences to identifiers. The identifiers of a document, in order, are then matched
+Texts are cut into clauses, each clause is normalised (case, punctuation, years and white space), and a word tree
+maps normalised sentences, which may span any number of clauses, to identifiers. The identifiers of a document, in order, are then matched
 against ordered licence rules: a rule is a sequence of identifiers in which up to `gap` unknown sentences
 may stand between two of them. Rules are tried in order at each place, so the longer comes before its
 part; matched sentences are used up.
 
+The knowledge base has titles, notices and tags of the licences in LICENCES, made by the patterns in NOTICES, and
+the sentences of the full texts and file headers in SENTENCES. Both are parameters of Scanner; a licence that is not in them is not found.
+
 Defined results: a null or empty text has no match and no row in `matches`, and an empty list in `scan`. Repeated rows are
 scanned each. A null doc_id is kept. Only doc_id and text are read.
 """
@@ -28,10 +31,22 @@ SENTENCES = [
     ("apache-2.0-warranty", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
     ("apache-2.0-language", "See the License for the specific language governing permissions and limitations under the License"),
     ("mit-notice", "Released under the MIT License"),
-    ("mit-notice", "Licensed under the MIT License"),
-    ("mit-notice", "This project is licensed under the MIT License"),
     ("mit-title", "The MIT License"),
     ("mit-title", "MIT License"),
+    ("isc-title", "ISC License"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-warranty", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'),
+    ("unlicense-release", "This is free and unencumbered software released into the public domain"),
+    ("unlicense-grant", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("zlib-warranty", "This software is provided 'as-is', without any express or implied warranty"),
+    ("zlib-liability", "In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("bsl-title", "Boost Software License - Version 1.0"),
+    ("bsl-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"),
+    ("bsl-notice", "Distributed under the Boost Software License, Version 1.0"),
+    ("wtfpl-title", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
     ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
     ("mit-condition", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mit-warranty", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
@@ -42,6 +57,13 @@ SENTENCES = [
     ("gpl-2.0-notice", "Licensed under the GNU General Public License, version 2"),
     ("gpl-redistribute", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("gpl-redistribute-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("lgpl-redistribute", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl-redistribute-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("agpl-redistribute", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl-details", "See the GNU Lesser General Public License for more details"),
+    ("agpl-details", "See the GNU Affero General Public License for more details"),
+    ("gpl-received", "You should have received a copy of the GNU General Public License along with this program"),
+    ("gpl-warranty", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
     ("gpl-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
     ("gpl-details", "See the GNU General Public License for more details"),
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -50,11 +72,6 @@ SENTENCES = [
     ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd-notice", "Licensed under the BSD 3-Clause License"),
     ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by-4.0-notice", "Licensed under CC BY 4.0"),
-    ("cc-by-sa-4.0-notice", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nd-4.0-notice", "Licensed under CC BY-ND 4.0"),
-    ("cc-by-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0-1.0-notice", "Dedicated to the public domain under CC0 1.0"),
     ("rights-reserved", "All rights reserved"),
 ]
@@ -67,6 +84,24 @@ RULES = [
     ("MIT", ("mit-grant", "mit-condition", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-condition")),
     ("MIT", ("mit-notice",)),
+    ("ISC", ("isc-title", "isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-warranty")),
+    ("Unlicense", ("unlicense-release", "unlicense-grant")),
+    ("Unlicense", ("unlicense-release",)),
+    ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("BSL-1.0", ("bsl-title", "bsl-grant")),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("BSL-1.0", ("bsl-notice",)),
+    ("WTFPL", ("wtfpl-title",)),
+    ("LGPL-2.1-or-later", ("lgpl-redistribute", "gpl-warranty", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl-redistribute",)),
+    ("LGPL-3.0-or-later", ("lgpl-redistribute-3", "gpl-warranty", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl-redistribute-3",)),
+    ("AGPL-3.0-or-later", ("agpl-redistribute", "gpl-warranty", "agpl-details")),
+    ("AGPL-3.0-or-later", ("agpl-redistribute",)),
+    ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-warranty", "gpl-details", "gpl-received")),
     ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-warranty", "gpl-details")),
     ("GPL-3.0-or-later", ("gpl-redistribute",)),
     ("GPL-2.0-or-later", ("gpl-redistribute-2", "gpl-warranty", "gpl-details")),
@@ -77,17 +112,65 @@ RULES = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-notice",)),
     ("MPL-2.0", ("mpl-2.0-notice",)),
-    ("CC-BY-4.0", ("cc-by-4.0-notice",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4.0-notice",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4.0-notice",)),
-    ("CC-BY-ND-4.0", ("cc-by-nd-4.0-notice",)),
     ("CC0-1.0", ("cc0-1.0-notice",)),
     ("LicenseRef-all-rights-reserved", ("rights-reserved",)),
 ]
+#: SPDX identifiers and the names by which notices call the licences.
+LICENCES = [
+    ("MIT", ("MIT License", "MIT licence", "MIT")),
+    ("Apache-2.0", ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "New BSD License", "BSD-3-Clause")),
+    ("0BSD", ("0BSD",)),
+    ("ISC", ("ISC License", "ISC")),
+    ("Zlib", ("zlib License", "Zlib")),
+    ("BSL-1.0", ("Boost Software License 1.0", "Boost Software License, Version 1.0", "BSL-1.0")),
+    ("Unlicense", ("Unlicense",)),
+    ("WTFPL", ("WTFPL",)),
+    ("GPL-2.0-only", ("GNU General Public License v2.0", "GNU General Public License, version 2", "GPL-2.0-only", "GPL-2.0", "GPLv2")),
+    ("GPL-2.0-or-later", ("GPL-2.0-or-later", "GPL-2.0+", "GPLv2+")),
+    ("GPL-3.0-only", ("GNU General Public License v3.0", "GNU General Public License, version 3", "GPL-3.0-only", "GPL-3.0", "GPLv3")),
+    ("GPL-3.0-or-later", ("GPL-3.0-or-later", "GPL-3.0+", "GPLv3+")),
+    ("LGPL-2.1-only", ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1", "LGPL-2.1-only", "LGPL-2.1", "LGPLv2.1")),
+    ("LGPL-2.1-or-later", ("LGPL-2.1-or-later",)),
+    ("LGPL-3.0-only", ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3", "LGPL-3.0-only", "LGPL-3.0", "LGPLv3")),
+    ("LGPL-3.0-or-later", ("LGPL-3.0-or-later",)),
+    ("AGPL-3.0-only", ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3", "AGPL-3.0-only", "AGPL-3.0", "AGPLv3")),
+    ("AGPL-3.0-or-later", ("AGPL-3.0-or-later",)),
+    ("MPL-2.0", ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL-2.0", "MPL 2.0")),
+    ("EPL-1.0", ("Eclipse Public License 1.0", "EPL-1.0")),
+    ("EPL-2.0", ("Eclipse Public License 2.0", "Eclipse Public License v2.0", "EPL-2.0")),
+    ("CC0-1.0", ("CC0 1.0 Universal", "CC0 1.0", "CC0-1.0")),
+]
+CC_KINDS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+CC_VERSIONS = [("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")]
+LICENCES += [
+    (f"CC-{kind}-{version}", (f"CC {kind} {version}", f"CC-{kind}-{version}", f"Creative Commons {name} {version} {scope} License", f"Creative Commons {name} {version} License", f"Creative Commons {name} {version} {scope}"))
+    for kind, name in CC_KINDS
+    for version, scope in CC_VERSIONS
+]
+#: How a notice names its licence.
+NOTICES = (
+    "Licensed under {}", "Licensed under the {}", "Licensed under the terms of the {}", "Released under {}", "Released under the {}", "Distributed under the {}", "Available under the {}",
+    "This project is licensed under the {}", "This project is licensed under {}", "This software is licensed under the {}", "This work is licensed under a {}", "This work is licensed under the {}",
+    "The code is licensed under the {}", "SPDX-License-Identifier: {}",
+)
 GAP = 2
 
-#: A sentence ends at a line end that ends a paragraph or closes a sentence, or at a mark that white space follows.
-_SENTENCE = re.compile(r"(?<=[.!?:;,])\s+|\n+")
+
+def notices() -> tuple[list[tuple[str, str]], list[tuple[str, tuple[str, ...]]]]:
+    """Sentences and rules of the notices of all LICENCES; a name gives one sentence for each pattern."""
+    sentences = [(f"notice-{licence}", pattern.format(name)) for licence, names in LICENCES for name in names for pattern in NOTICES]
+    # A long name is a notice by itself, as a title or a line of a list.
+    sentences += [(f"notice-{licence}", name) for licence, names in LICENCES for name in names if "License" in name and name.count(" ") >= 2]
+    return sentences, [(licence, (f"notice-{licence}",)) for licence, _ in LICENCES]
+
+
+#: Clauses are cut at line ends, at a mark that white space follows, at a dash and before a bracket.
+_SENTENCE = re.compile(r"(?<=[.!?:;,])\s+|\n+|\s+[-\u2013\u2014]\s+|\s+(?=\()")
+_FIRST = re.compile(r"\W*([A-Za-z0-9.+]+)")
+#: Clauses that end a sentence: their mark, or an empty line.
+_FULL_STOP = re.compile(r"[.!?]\s*\Z")
 _NOISE = re.compile(r"[^a-z0-9.+]+")
 _YEARS = re.compile(r"\b(?:19|20)\d\d\b")
 
@@ -97,68 +180,84 @@ def normalised(sentence: str) -> str:
     return " ".join(w.strip(".") for w in s.split() if w.strip("."))
 
 
-def clauses(text: str) -> list[tuple[str, int, int]]:
-    """Normalised clauses with their start and end: cuts at line ends and after . ! ? : ; , before white space."""
+def clauses(text: str) -> list[tuple[int, int, bool]]:
+    """Start and end of the clauses, and whether one ends its sentence."""
     out, at = [], 0
     for m in _SENTENCE.finditer(text):
         if text[at : m.start()].strip():
-            out.append((normalised(text[at : m.start()]), at, m.start()))
+            out.append((at, m.start(), "\n\n" in m[0] or bool(_FULL_STOP.search(text, max(at, m.start() - 8), m.start()))))
         at = m.end()
     if text[at:].strip():
-        out.append((normalised(text[at:]), at, len(text)))
+        out.append((at, len(text), True))
     return out
 
 
 class Scanner:
     """The sentence table and the rules, ready for texts. A known sentence may span several clauses, so that wrapped lines and commas don't matter."""
 
-    def __init__(self, sentences=SENTENCES, rules=RULES, gap: int = GAP):
-        self.gap, self.rules = gap, rules
+    def __init__(self, sentences=None, rules=None, gap: int = GAP):
+        own_sentences, own_rules = notices()
+        sentences = SENTENCES + own_sentences if sentences is None else sentences
+        self.gap, self.rules = gap, RULES + own_rules if rules is None else rules
         self.tree: dict = {}
         for name, wording in sentences:
             node = self.tree
             for word in normalised(wording).split():
                 node = node.setdefault(word, {})
-            node[None] = name
-        self.first = set(self.tree)
-        longest = {w for w in self.first}
-        self.quick = re.compile("|".join(sorted(map(re.escape, longest))), re.IGNORECASE)
-
-    def sentences(self, text: str) -> list[tuple[str | None, int, int]]:
-        """(identifier or None, start, end) of the text's sentences in order."""
-        parts = [(c.split(), a, b) for c, a, b in clauses(text)]
+            node.setdefault(None, name)  # the first wording wins
+        self.by_first: dict[str, list] = {}
+        for number, (licence, wanted) in enumerate(self.rules):
+            self.by_first.setdefault(wanted[0], []).append((number, licence, tuple(wanted)))
+
+    def sentences(self, text: str) -> list[tuple[str | None, int, int, int]]:
+        """(identifier, start, end, number of the sentence) of the known sentences in order; sentences between them have numbers too."""
+        parts, number, held = clauses(text), 0, {}
+
+        def may_begin(k: int) -> bool:
+            first = _FIRST.match(text, *parts[k][:2])
+            if first is None:
+                return True
+            word = first[1].lower().strip(".")
+            return word in self.tree or not word or bool(_YEARS.fullmatch(word)) or not first[0].isascii()
+
+        def words(k: int) -> list[str]:
+            if k not in held:
+                held[k] = normalised(text[parts[k][0] : parts[k][1]]).split()
+            return held[k]
+
         out, i = [], 0
         while i < len(parts):
+            held.pop(i - 1, None)
             node, best, j = self.tree, None, i
-            while j < len(parts) and j - i < 40:
-                for word in parts[j][0]:
+            # The depth of the tree bounds the walk.
+            while j < len(parts) and (j > i or may_begin(j)):
+                for word in words(j):
                     node = node.get(word)
                     if node is None:
                         break
                 if node is None:
                     break
-                if None in node:
+                if None in node and words(j):
                     best = (node[None], j)
                 j += 1
             if best:
-                out.append((best[0], parts[i][1], parts[best[1]][2]))
-                i = best[1] + 1
+                out.append((best[0], parts[i][0], parts[best[1]][1], number))
+                held = {k: w for k, w in held.items() if k > best[1]}
+                i, number = best[1] + 1, number + 1
             else:
-                if parts[i][0]:
-                    out.append((None, parts[i][1], parts[i][2]))
+                number += parts[i][2]
                 i += 1
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, list[str]]]:
         """(licence, start, end, rule number, identifiers) of each match in order."""
-        known = self.sentences(text)
-        found = [(k, *s) for k, s in enumerate(known) if s[0]]
+        found = self.sentences(text)
         out, at = [], 0
         while at < len(found):
-            for number, (licence, wanted) in enumerate(self.rules):
+            for number, licence, wanted in self.by_first.get(found[at][0], ()):
                 run = found[at : at + len(wanted)]
-                if tuple(x[1] for x in run) == wanted and all(b[0] - a[0] - 1 <= self.gap for a, b in zip(run, run[1:])):
-                    out.append((licence, run[0][2], run[-1][3], number, list(wanted)))
+                if tuple(x[0] for x in run) == wanted and all(b[3] - a[3] - 1 <= self.gap for a, b in zip(run, run[1:])):
+                    out.append((licence, run[0][1], run[-1][2], number, list(wanted)))
                     at += len(wanted)
                     break
             else:

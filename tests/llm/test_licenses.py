@@ -26,6 +26,22 @@ def full(*names):
         (full("gpl-redistribute") + " One. Two. " + full("gpl-warranty", "gpl-details"), ["GPL-3.0-or-later"]),
         (full("bsd-source", "bsd-grant"), []),
         (full("mit-condition"), []),
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", ["GPL-2.0-or-later"]),
+        ("Distributed under the MIT License.", ["MIT"]),
+        ("This project is licensed under the MIT License - see LICENSE", ["MIT"]),
+        ("This project is licensed under the MIT License (see LICENSE.md).", ["MIT"]),
+        ("A list:\nMozilla Public License 2.0\nISC License\n", ["MPL-2.0"]),
+        ("Licensed under CC BY-SA 3.0", ["CC-BY-SA-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["CC-BY-SA-3.0"]),
+        (full("lgpl-redistribute", "gpl-warranty", "lgpl-details"), ["LGPL-2.1-or-later"]),
+        (full("agpl-redistribute"), ["AGPL-3.0-or-later"]),
+        (full("isc-grant", "isc-warranty"), ["ISC"]),
+        (full("zlib-warranty", "zlib-liability", "zlib-grant"), ["Zlib"]),
+        (full("unlicense-release", "unlicense-grant"), ["Unlicense"]),
+        (full("mit-grant").replace(" ", "\n") + "\n" + full("mit-condition").replace(" ", " \n"), ["MIT"]),
+        (full("mit-grant") + " One, two, three, four. " + full("mit-condition"), ["MIT"]),
+        ("In MIT, 2020, a study of licensed software.", []),
         ("", []),
     ],
 )
