@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmine.operators.lexical import top
 
-#: Queries travel to every task, so a batch must be small; more are searched batch by batch.
+#: Queries travel to every task, so a batch must be small; more are searched batch by batch, one pass over the rows each.
 MOST_QUERY_BYTES = 64 << 20
 QUERY_ROWS = 2048
 
@@ -44,14 +46,23 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     relevance(F.lit(0.0), metric)
     asked = queries.where("vector is not null").select(by, "vector")
     total = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    kind = queries.schema[by].dataType.simpleString()
     if not total[0]:
-        return queries.sparkSession.createDataFrame([], f"{by} long, ordinal long, distance double, rank int")
-    if total[0] * total[1] * 8 > MOST_QUERY_BYTES:
-        raise ValueError("too many queries for one batch")
+        return queries.sparkSession.createDataFrame([], f"{by} {kind}, ordinal long, distance double, rank int")
+    # Half of the bound on the mean, as hashes don't fill batches evenly.
+    parts = max(1, -(-total[0] * total[1] * 8 * 2 // MOST_QUERY_BYTES)) if total[0] * total[1] * 8 > MOST_QUERY_BYTES else 1
+    found = [_found(corpus, asked.where(F.pmod(F.xxhash64(by), F.lit(parts)) == part) if parts > 1 else asked, k, metric, by, kind) for part in range(parts)]
+    merged = reduce(DataFrame.unionByName, found)
+    return top(merged.withColumn("score", -F.col("distance")), [by], k).drop("score")
+
+
+def _found(corpus: DataFrame, asked: DataFrame, k: int, metric: str, by: str, kind: str) -> DataFrame:
+    """Every task's own k nearest rows of each query of one batch."""
     rows = asked.collect()
+    if not rows:
+        return asked.sparkSession.createDataFrame([], f"{by} {kind}, ordinal long, distance double")
     ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
     shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-    kind = queries.schema[by].dataType.simpleString()
 
     def run(batches):
         ids, matrix = shared.value
@@ -78,5 +89,4 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
             n = best_d.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(best_o.reshape(-1)), pa.array(best_d.reshape(-1))], [by, "ordinal", "distance"])
 
-    found = corpus.select("ordinal", "vector").mapInArrow(run, f"{by} {kind}, ordinal long, distance double")
-    return top(found.withColumn("score", -F.col("distance")), [by], k).drop("score")
+    return corpus.select("ordinal", "vector").mapInArrow(run, f"{by} {kind}, ordinal long, distance double")

@@ -91,6 +91,17 @@ def test_nearest(spark):
     assert [(r.qid, r.ordinal, r["rank"]) for r in vectors.nearest(rows, ask, 2).orderBy("rank").collect()] == [(7, 0, 1), (7, 2, 2)]
 
 
+def test_nearest_in_batches(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "ordinal long, vector array<double>")
+    ask = spark.createDataFrame([(f"q{i}", [float(i), 1.0]) for i in range(12)], "qid string, vector array<double>")
+    got = []
+    for most in (1 << 20, 40):
+        monkeypatch.setattr(vectors, "MOST_QUERY_BYTES", most)
+        got.append(sorted((r.qid, r.ordinal, r.distance, r["rank"]) for r in vectors.nearest(rows, ask, 3, "l2").collect()))
+    assert got[0] == got[1] and len(got[0]) == 36 and [g[:2] for g in got[0] if g[3] == 1 and g[0] == "q7"] == [("q7", 7)]
+    assert vectors.nearest(rows, ask.limit(0), 3).schema["qid"].dataType.simpleString() == "string"
+
+
 def test_fusion(spark):
     rows = [(1, 1, 1, "a", None, "x"), (1, 1, 2, "b", 2, "y"), (1, 2, 1, "b", 2, "y"), (1, 2, 2, "a", None, "x"), (1, 2, 3, "c", 1, "z")]
     lists = spark.createDataFrame(rows, "qid long, list int, rank int, document string, page int, text string").withColumn("payload", F.col("list"))
