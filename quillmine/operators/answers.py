@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from quillmine.functions import fixed
 from quillmine.functions.config import Settings
 from quillmine.functions.text import bilingual_department, classify_query, detect_language, strip
-from quillmine.operators import versions
+from quillmine.operators import retrieval, versions
+from quillmine.sources.tables import persist
 
 RECENT_TURNS, CONTEXT_QUESTIONS = 6, 2
 MOST_HISTORY, MOST_QUESTION_CHARS, MOST_TURN_CHARS = 10, 2000, 4000
@@ -168,3 +169,24 @@ def ask(questions: DataFrame, evidence: DataFrame, generate: Callable[[Column],
         F.when(told, F.col("notice")).alias("scope_notice"),
         F.when(told & (F.size("options") > 0), F.col("options")).alias("scope_options"),
     )
+
+
+def answer_questions(
+    requests: DataFrame,
+    corpus: DataFrame,
+    generate: Callable[[Column], Column],
+    settings: Settings = Settings(),
+    backend: retrieval.Backend | None = None,
+    catalogue: DataFrame | None = None,
+    reranker: Callable[[Column, Column], Column] | None = None,
+    any_script: bool = True,
+) -> DataFrame:
+    """From questions (qid, text, optionally history) over a corpus to answers with scope: evidence is sought by the question with its context and answered as `ask` does.
+
+    A question without evidence is answered too, a question of fact by a refusal.
+    """
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    history = F.coalesce("history", none) if "history" in requests.columns else none
+    wanted = requests.select("qid", retrieval_query(F.col("text"), history).alias("text"))
+    found = persist(retrieval.retrieve(wanted, corpus, settings, backend, catalogue, reranker, any_script), "evidence")
+    return ask(requests, found, generate, settings)

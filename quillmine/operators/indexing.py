@@ -7,6 +7,7 @@ Manifest: kind, key, hash, document, configuration, n_chunks.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,10 +77,14 @@ class IndexReport:
 
 
 class ChunkIndex:
-    """The chunk table and its manifest as versioned snapshots under a path."""
+    """The chunk table and its manifest as versioned snapshots under a path.
 
-    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings()):
-        self.spark, self.settings = spark, settings
+    With an encoder new chunks are stored with their vectors, which `retrieval.vector_backend` searches; unchanged ones keep theirs.
+    Chunks that were stored without one have no vector until their file or page changes, so give the encoder from the start.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), encode: Callable[[Column], Column] | None = None):
+        self.spark, self.settings, self.encode = spark, settings, encode
         self.chunks, self.manifest = Snapshots(spark, f"{path}/chunks"), Snapshots(spark, f"{path}/manifest")
 
     @property
@@ -94,7 +99,8 @@ class ChunkIndex:
         manifest = self.read_manifest()
         status = persist(changes(current.dropDuplicates(["key"]), manifest, kind, configuration), "changes")
         todo = status.where("status <> 'unchanged'").select("key")
-        new = persist(make(todo), "chunks")
+        made_now = make(todo)
+        new = persist(made_now if self.encode is None else made_now.withColumn("vector", self.encode(F.col("text"))), "chunks")
         made = new.groupBy("kind", "key", "hash", "document").agg(F.count(F.lit(1)).alias("n_chunks")).withColumn("configuration", F.lit(self.configuration))
         made = persist(made, "made")
         counts = status.agg(F.count_if(F.col("status") == "unchanged"), F.count_if(F.col("status") != "unchanged")).first()

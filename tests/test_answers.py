@@ -1,8 +1,9 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillmine.functions import fixed
-from quillmine.operators import answers, versions
+from quillmine.operators import answers, indexing, retrieval, versions
 
 EVIDENCE = "qid long, rank int, document string, page int, text string, score double, source_type string, source_url string, section string, department string, crawled_at string"
 
@@ -40,6 +41,29 @@ def test_answers(spark):
     assert got[5].answer == fixed.REFUSALS["zh"] and not got[5].grounded
 
 
+def test_from_question_to_answer(spark, tmp_path):
+    """Index with vectors, search them, answer with citations; the history's question finds what the last one doesn't name."""
+    names = ("library", "canteen", "visa")
+
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(n in t.lower()) for n in names])
+
+    index = indexing.ChunkIndex(spark, f"file://{tmp_path}/i", encode=encode)
+    rows = [(f"The {n} rules of the campus.", f"{n}.pdf", f"/{n}.pdf", 1, "m", n) for n in names]
+    pages = spark.createDataFrame(rows, "text string, document string, source_path string, page int, modified_at string, sha256 string")
+    assert index.update_documents(pages).indexed == 3
+    more = pages.limit(0).unionByName(pages.where("page = 1 and sha256 <> 'visa'")).unionByName(spark.createDataFrame([("The visa office.", "visa.pdf", "/visa.pdf", 1, "m", "new")], pages.schema))
+    assert index.update_documents(more).indexed == 1
+    corpus = index.corpus()
+    assert {r.document: list(r.vector) for r in corpus.collect()} == {n: v for n, v in zip([f"{n}.pdf" for n in names], ([1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]))}
+    requests = spark.createDataFrame([(0, "library rules", None), (1, "and what are the rules there", [("user", "the canteen")]), (2, "swimming", [])], "qid long, text string, history array<struct<role:string,content:string>>")
+    model = lambda p: F.concat_ws(" ", F.lit("See"), F.regexp_extract(p, r"证据 1 (【[^】]*】)", 1))
+    got = {r.qid: r for r in answers.answer_questions(requests, corpus, model, backend=retrieval.vector_backend(encode)).collect()}
+    assert got[0].answer == "See 【library.pdf，第 1 页】" and [s.document for s in got[0].sources] == ["library.pdf"]
+    assert got[1].answer == "See 【canteen.pdf，第 1 页】" and not got[2].grounded and got[2].sources == []
+
+
 def test_history(spark):
     turns = [(1, k, r, t) for k, (r, t) in enumerate([("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "c"), ("user", "d"), ("user", " e ")])]
     got = {r.turn: r["query"] for r in answers.history_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
