@@ -21,3 +21,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def literal(value) -> str:
+    """A value as SQL."""
+    if value is None:
+        return "null"
+    if isinstance(value, (list, tuple)):
+        return f"[{', '.join(map(literal, value))}]"
+    return str(value).lower() if isinstance(value, (bool, int, float)) else "'" + value.replace("'", "''") + "'"
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """The rows as a table for a from clause; columns: name, name, ..."""
+    return f"(values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) as t({columns})"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmine.functions import fixed
 from quillmine.functions.config import Settings
 from quillmine.operators import answers, evaluation, fusion, lexical, vectors, versions
 from quillmine.operators.retrieval import retrieve
-from quillmine.plans.common import corpus, questions, table
+from quillmine.plans.common import corpus, literal as _text, questions, table, values
 
 K = 10
 
@@ -182,6 +183,14 @@ _DISTANCE = {
     "l2": f"greatest(0, list_dot_product(a.embedding::double[], a.embedding::double[]) + list_dot_product(b.embedding::double[], b.embedding::double[]) - 2 * {_DOT})",
 }
 _RELEVANCE = {"cosine": "1 - greatest(0, d)", "ip": "1 - greatest(0, d)", "l2": "1 / (1 + greatest(0, d))"}
+#: The cases of versions, with the programme and the label that a document's name has.
+_VERSIONED = f"""
+q as (select qid, text, regexp_matches(text, '(?i)20\\d{{2}}\\s*(级|年|entry)|\\d{{2}}\\s*(至|-)\\s*\\d{{2}}') as names_year, regexp_matches(text, '[A-Za-z]') as english from {values(_ASKED, 'qid, text')}),
+e as (
+  select qid, rank, document, names_year, english, document like '%适用于%.pdf' as versioned, split_part(document, '_适用于', 1) as programme, replace(split_part(document, '_适用于', 2), '.pdf', '') as label
+  from {values(_VERSIONS, 'qid, rank, document')} join q using (qid)
+)"""
+_OPTION = "case when english then 'For ' || replace(replace(replace(label, '至', '–'), '年度及以后入学学生', ' academic year and later entrants'), '年度入学学生', ' academic year entrants') else '适用于' || label end"
 SQL = {
     "keyword_overlap_topk": f"with {_BASE} select qid, doc_id as ordinal, round(score, 6) as score, rank from overlap_ranked where rank <= {K}",
     "bm25_stats": f"with {_BASE} select token, round(idf, 6) as idf from idf",
@@ -205,9 +214,26 @@ judged as (
 )
 select round(coalesce(avg(case when gold is not null then (first is not null)::int end), 0), 6) as recall_at_5, round(coalesce(avg(case when gold is not null then coalesce(1.0::double / first, 0) end), 0), 6) as mrr_at_10,
   round(coalesce(avg(case when gold is not null then (first is not null)::int end), 0), 6) as page_hit_rate, round(avg(((n = 0) = (gold is null))::int), 6) as refusal_accuracy from judged""",
-    "version_scope": """
-select 1::bigint as qid, '金融学_适用于2022至23年度入学学生.pdf' as document, 'For 2023–24 academic year and later entrants' as options union all select 2, '统计学_适用于2023至24年度入学学生.pdf', ''""",
-    "version_clarification": "select 1::bigint as qid, '金融学' as programme, 'For 2022–23 academic year entrants|For 2023–24 academic year and later entrants' as options",
+    "version_scope": f"""
+with {_VERSIONED},
+chosen as (select * from e where versioned and not names_year qualify row_number() over (partition by qid order by rank) = 1)
+select c.qid::bigint as qid, c.document, coalesce((select string_agg(distinct {_OPTION}, '|' order by {_OPTION}) from e where e.qid = c.qid and e.programme = c.programme and e.label <> c.label), '') as options from chosen c""",
+    "version_clarification": f"""
+with {_VERSIONED},
+named as (select qid, programme, string_agg(distinct {_OPTION}, '|' order by {_OPTION}) as options, count(distinct label) as n, min(rank) as first from e where versioned and not names_year group by qid, programme having count(distinct label) > 1)
+select qid::bigint as qid, programme, options from named qualify row_number() over (partition by qid order by n desc, first) = 1""",
+    "prompt_context": f"""with {_BASE}, {_HYBRID},
+context as (select qid, string_agg('证据 ' || rank || ' 【' || document || '，第 ' || page::int || ' 页】' || chr(10) || text, chr(10) || chr(10) order by rank) as context from found where rank <= 4 group by qid),
+asked as (
+  select item_id as qid, text, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 2 * length(regexp_replace(text, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g')) as english,
+    case when regexp_matches(text, '(?i){fixed.LEARNING_PATTERN}') then {_text(answers.MODE_RULES[fixed.LEARNING_PLAN])} when regexp_matches(text, '(?i){fixed.COURSE_PATTERN}') then {_text(answers.MODE_RULES[fixed.COURSE_EXPLANATION])}
+      else {_text(answers.MODE_RULES[fixed.OFFICIAL_FACT])} end as task from benchmark
+),
+p as (
+  select qid, concat_ws(chr(10), '任务：' || task, case when english then {_text(answers.LANGUAGE_RULES['en'])} else {_text(answers.LANGUAGE_RULES['zh'])} end, '重要事实之后原样附上证据标签；证据不全时说明目前能确认的部分；历史只用来理解问题。',
+    '拒答语：' || case when english then {_text(fixed.REFUSALS['en'])} else {_text(fixed.REFUSALS['zh'])} end, '证据：' || chr(10) || coalesce(context, ''), '问题：' || text) as prompt from asked left join context using (qid)
+)
+select qid, length(prompt) as chars, sha256(prompt) as sha256 from p""",
 }
 SQL |= {
     f"vector_topk_{m}": f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmine.operators import crawling, html, records, rules
-from quillmine.plans.common import table
+from quillmine.plans.common import table, values
 
 SOURCE = crawling.WebSource("site", ("https://example.org/",), ("example.org", "example.net"), ("/en/", "/de/"))
 
@@ -66,6 +66,16 @@ def requirement_report(spark, sf_dir):
     return report.select("key", "overall_status", "earned", "required", "remaining", F.array_join("missing_required_courses", ",").alias("missing"))
 
 
+#: Lines of the transcripts: a course's code and row, the term it stands under, and the rest of a title on an indented line after it.
+_LINES = f"""
+raw as (select key, page, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line from {values(TRANSCRIPT, 'key, page, text')}),
+cut as (
+  select *, replace(regexp_extract(line, '^[A-Z]{{2,4}} ?\\d{{4}}'), ' ', '') as code, regexp_extract(line, '^[A-Z]{{2,4}} ?\\d{{4}}\\s+(.+?)\\s+(\\d+)\\s+([A-Z]+[+-]?)\\s+\\S+$', ['title', 'units', 'grade']) as parsed,
+    nullif(regexp_extract(replace(line, '–', '-'), '^\\d{{4}}-\\d{{2}} Term \\d$'), '') as stated from raw
+),
+told as (
+  select *, last_value(stated ignore nulls) over (partition by key order by page, pos) as term, case when lead(line) over w like '  %' then trim(lead(line) over w) end as more from cut window w as (partition by key, page order by pos)
+)"""
 QUERIES = {f.__name__: f for f in (html_sections, html_chunks, url_allowlist, page_links, link_counts, transcript_courses, transcript_records, requirement_report)}
 SQL = {
     "url_allowlist": """
@@ -73,9 +83,28 @@ select page_id, address, host, (host = 'example.org' or ends_with(host, '.exampl
   and not regexp_matches(lower(path), '[.](jpg|jpeg|png|gif|svg|zip|doc|docx|xls|xlsx|pdf)$') as allowed from (
   select page_id, address, lower(regexp_extract(address, '^https?://([^/?#:]*)', 1)) as host, regexp_extract(address, '^https?://[^/?#]*([^?#]*)', 1) as path from (select page_id, split_part(url, '#', 1) as address from pages))""",
     "link_counts": "select page_id, len(regexp_extract_all(html, '<a [^>]*href=')) as n_links from pages",
-    "transcript_courses": """
-select * from (values ('s1', 1::bigint, 'MAT1001', 'Calculus I', 3.0::double, 'A-', '2023-24 Term 1', 'passed'), ('s1', 2, 'CSC1001', 'Introduction to Computer Science: Programming', 3.0, 'B+', '2023-24 Term 1', 'passed'),
-  ('s1', 3, 'STA2001', 'Probability', 3.0, 'IP', '2023-24 Term 2', 'in_progress'), ('s1', 4, 'PHY1001', 'Mechanics', 3.0, 'F', '2023-24 Term 2', 'failed')) as t(key, ordinal, course_code, course_name, credits, grade, term, status)""",
-    "transcript_records": "select * from (values ('s1', 'Data Science', 2023::bigint, 6.0::double, 1::bigint), ('s2', null, null, null, 2)) as t(key, programme, admission_year, total_credits_reported, n_warnings)",
-    "requirement_report": "select 's1' as key, 'partially_satisfied' as overall_status, 6.0::double as earned, 9.0::double as required, 3.0::double as remaining, 'CHM1001,CSC1002,PHY1001' as missing",
+    "page_links": """
+with l as (select regexp_extract(split_part(url, '#', 1), '^[a-z]+://[^/?#]*') as site, url as src, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) as href from pages)
+select src, count(*) as n_links, count(distinct site || href) as n_targets from l group by src""",
+    "transcript_courses": f"""
+with {_LINES}
+select key, row_number() over (partition by key order by page, pos) as ordinal, code as course_code, concat_ws(' ', parsed.title, more) as course_name, try_cast(parsed.units as double) as credits, parsed.grade as grade, term,
+  case parsed.grade when 'IP' then 'in_progress' when 'F' then 'failed' else 'passed' end as status from told where parsed.title <> ''""",
+    "transcript_records": f"""
+with {_LINES},
+p as (select * from {values(TRANSCRIPT, 'key, page, text')})
+select key, max(nullif(regexp_extract(text, 'Programme: (.+)', 1), '')) as programme, max(try_cast(regexp_extract(text, 'Admitted in: \\w+ (\\d{{4}})', 1) as bigint)) as admission_year,
+  max(try_cast(regexp_extract(text, 'Cumulative Units Passed = ([0-9.]+)', 1) as double)) as total_credits_reported,
+  (select count(*) from told t where t.key = p.key and code <> '' and parsed.title = '') + count(*) filter (trim(text) = '') + (not exists (select 1 from told t where t.key = p.key and parsed.title <> ''))::int as n_warnings
+from p group by key""",
+    "requirement_report": f"""
+with {_LINES},
+taken as (select key, code, try_cast(parsed.units as double) as credits, parsed.grade not in ('IP', 'F') as passed, parsed.grade = 'IP' as waiting from told where parsed.title <> ''),
+wanted as (select id, type, least, unnest(courses) as code, generate_subscripts(courses, 1) as pos from {values([(g[0], g[2], g[4], g[5]) for g in RULES[0][5]], 'id, type, least, courses')}),
+state as (select w.*, coalesce(passed, false) as done, coalesce(waiting, false) as now from wanted w left join taken t using (code)),
+counted as (select *, count(*) filter (done) over (partition by id) as n, row_number() over (partition by id, done or now order by pos) as place from state),
+missing as (select distinct code from counted where not done and not now and (type = 'all_of' or (type = 'one_of' and n = 0) or (type = 'choose_n' and place <= least - n))),
+sums as (select key, sum(credits) filter (passed) as earned, {RULES[0][4]}::double as required from taken group by key)
+select key, case when earned >= required and not exists (select 1 from missing) then 'satisfied_for_computable_rules' else 'partially_satisfied' end as overall_status, earned, required, greatest(0, required - earned) as remaining,
+  (select string_agg(code, ',' order by code) from missing) as missing from sums""",
 }
