@@ -35,6 +35,22 @@ def test_segments(spark):
     assert "".join(r.text for r in got) == by_hand([("ab"[k % 2], f"t{k}") for k in range(150)], "a")[0]
 
 
+def test_equal_and_null_turn_numbers_are_cut(spark):
+    rows = spark.createDataFrame([(1, (None, 7)[k % 2], "ab"[k % 3 > 0], f"t{k:03}", None, None) for k in range(100)], SCHEMA)
+    got = perspectives(rows, 64, part_rows=16).where("perspective = 'b'").orderBy("segment", "part").collect()
+    assert [r.n_turns for r in got] == [16] * 6 + [4] and [r.part for r in got] == list(range(7))
+    order = sorted(range(100), key=lambda k: (k % 2, "ab"[k % 3 > 0], f"t{k:03}"))
+    assert "".join(r.text for r in got) == by_hand([("ab"[k % 3 > 0], f"t{k:03}") for k in order], "b")[0]
+
+
+def test_rendered_turns_are_not_shuffled(spark):
+    """One exchange carries the texts."""
+    plan = queries_chat.op5_perspective_rotation(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("\n") if "Exchange" in line]
+    assert sum("hashpartitioning(conv" in line and "segment" in line and "perspective" not in line for line in lines) >= 1
+    assert not any("perspective" in line.split("hashpartitioning(")[1].split(")")[0] and "segment" in line.split("hashpartitioning(")[1].split(")")[0] for line in lines if "hashpartitioning(" in line)
+
+
 def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, 0, None, None, "", ""), (1, None, " ", "x", "", ""), (None, 0, "ann", "x", "", ""), (None, 0, "ann", "x", "", ""), (2, 0, "system", "s", "", ""), (3, 0, "b", "y", "", ""), (3, 0, "a", "x", "", "")], SCHEMA)
     got = {(r.conv_id, r.perspective): r for r in perspectives(rows).collect()}
