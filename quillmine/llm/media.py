@@ -2,7 +2,9 @@
 
 A payload is the UTF-8 text and zero bytes up to a positive multiple of 64. It becomes the green channel
 of an image, 64 samples a row (more rows than the format allows make the rows wider, and the
-last row is filled up). Lines that occur again are stored as back-references.
+last row is filled up). Lines that occur again are stored as back-references, unless a palette or a prediction of
+samples makes the image smaller. A payload over FILE_BYTES becomes several files one after the other; their samples, read in
+rows as wide as the first file's, are one pixel array.
 
 Defined results: a null text is empty, and an empty text is 64 zero bytes. Repeated rows and null ids are kept. Other
 columns are not read.
@@ -21,6 +23,7 @@ ROW = 64
 LEAST_LINE = 24
 MOST_COPY = 4096
 MOST_DISTANCE = (1 << 20) - 120
+FILE_BYTES = 1 << 27
 
 
 def payload(text: bytes) -> bytes:
@@ -45,14 +48,23 @@ def line_copies(data: bytes) -> list[tuple[int, int, int]]:
 
 
 def store(data: bytes) -> bytes:
-    """The image file of a payload."""
-    width = row_width(len(data))
-    return webp.encode_grey(data + bytes(-len(data) % width), width, line_copies(data))
+    """The image file of a payload, or its files."""
+    width = row_width(min(len(data), FILE_BYTES))
+    out = []
+    for at in range(0, len(data), FILE_BYTES):
+        part = data[at : at + FILE_BYTES]
+        out.append(webp.encode_grey(part + bytes(-len(part) % width), width, line_copies(part)))
+    return b"".join(out)
 
 
 def load(media: bytes) -> np.ndarray:
     """The samples (height, width) of a stored payload."""
-    return (webp.decode(media) >> np.uint32(8)).astype(np.uint8)
+    parts, at = [], 0
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        parts.append((webp.decode(media[at : at + size]) >> np.uint32(8)).astype(np.uint8))
+        at += size
+    return np.concatenate(parts)
 
 
 def feature(samples: np.ndarray) -> str:

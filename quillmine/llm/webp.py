@@ -422,7 +422,23 @@ def _prediction(rows, x: int, y: int, width: int, mode: int) -> int:
     return predict(mode, rows[y][x - 1], rows[y - 1][x], right, rows[y - 1][x - 1])
 
 
+def _undo_sums(pixels: np.ndarray, width: int, height: int, mode: int) -> np.ndarray:
+    """Where every tile predicts by the left (1) or the upper (2) pixel, the pixels are running sums of each channel."""
+    parts = pixels.astype("<u4").view(np.uint8).reshape(height, width, 4).copy()
+    parts[0, 0, 3:] += np.uint8(255)  # the first pixel is predicted opaque
+    if mode == 1:
+        parts[:, 0] = np.cumsum(parts[:, 0], axis=0, dtype=np.uint8)
+        parts = np.cumsum(parts, axis=1, dtype=np.uint8)
+    else:
+        parts[0] = np.cumsum(parts[0], axis=0, dtype=np.uint8)
+        parts = np.cumsum(parts, axis=0, dtype=np.uint8)
+    return np.ascontiguousarray(parts).view("<u4").reshape(-1)
+
+
 def _undo_predictor(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, bits: int) -> np.ndarray:
+    kinds = np.unique(modes >> 8 & 255)
+    if len(kinds) == 1 and kinds[0] in (1, 2):
+        return _undo_sums(pixels, width, height, int(kinds[0]))
     rest = pixels.reshape(height, width).tolist()
     rows = [[0] * width for _ in range(height)]
     tiles = (modes >> 8 & 255).reshape(-(-height >> bits), -1).tolist()
@@ -640,15 +656,78 @@ def _header(out: _Out, width: int, height: int) -> None:
     out.put(0, 3)
 
 
+def _bits(samples: np.ndarray) -> float:
+    """About how many bits samples take as literals, their code included."""
+    counts = np.bincount(samples, minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(len(samples) / counts)).sum()) + 4 * len(counts) if len(samples) else 0.0
+
+
+def _transformed(data: np.ndarray, width: int, plain: float) -> tuple[int | None, np.ndarray, int, np.ndarray]:
+    """The transform that makes grey samples smallest, if any does: its kind, the samples after it, their width, and its colours or mode.
+
+    A palette where at most 16 values occur, so that several fit a pixel, or a prediction by the left or the upper sample. The other
+    transforms and the colour cache save nothing where one channel alone has values.
+    """
+    best, least = (None, data, width, data[:0]), plain
+    grid = data.reshape(-1, width)
+    for mode in (1, 2):
+        rest = grid.copy()
+        if mode == 1:
+            rest[:, 1:] -= grid[:, :-1]
+            rest[1:, 0] -= grid[:-1, 0]
+        else:
+            rest[1:] -= grid[:-1]
+            rest[0, 1:] -= grid[0, :-1]
+        cost = _bits(rest.reshape(-1)) + 64
+        if cost < least:
+            best, least = (PREDICTOR, rest.reshape(-1), width, np.array([mode], np.uint8)), cost
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    if len(used) <= 16:
+        bundle = _bundle_bits(len(used))
+        narrow = -(-width >> bundle)
+        index = np.zeros((len(grid), narrow << bundle), np.uint8)
+        index[:, :width] = np.searchsorted(used, grid)
+        depth = 8 >> bundle
+        packed = np.bitwise_or.reduce(index.reshape(len(grid), narrow, 1 << bundle) << (depth * np.arange(1 << bundle, dtype=np.uint8)), axis=2).astype(np.uint8).reshape(-1)
+        cost = _bits(packed) + 12 * len(used) + 64
+        if cost < least:
+            best = (PALETTE, packed, narrow, used.astype(np.uint8))
+    return best
+
+
+def _write_transform(out: _Out, kind: int, width: int, height: int, values: np.ndarray) -> None:
+    out.put(1, 1)
+    out.put(kind, 2)
+    if kind == PREDICTOR:
+        out.put(7, 3)  # tiles of 512 pixels a side
+        across, down = -(-width >> 9), -(-height >> 9)
+        _write_image(out, np.full(across * down, int(values[0]) << 8 | OPAQUE, np.uint32), across, 0, False, 1, False, 0)
+    else:
+        out.put(len(values) - 1, 8)
+        steps = np.diff(values, prepend=np.uint8(0)).astype(np.uint32) << np.uint32(8)
+        steps[0] |= np.uint32(OPAQUE)
+        _write_image(out, steps, len(values), 0, False, 1, False, 0)
+
+
 def encode_grey(samples: bytes, width: int, copies: list[tuple[int, int, int]] = ()) -> bytes:
     """A file whose green channel has the samples, one a pixel, the length a multiple of the width.
 
-    copies: (place, length, distance) of runs that are equal to the samples `distance` before, in order, not overlapping.
+    copies: (place, length, distance) of runs that are equal to the samples `distance` before, in order, not overlapping. They
+    are used unless a transform of all samples takes less.
     """
     data = np.frombuffer(samples, np.uint8)
     out = _Out()
-    _header(out, width, len(data) // width)
-    out.put(0, 1)  # no transform
+    height = len(data) // width
+    _header(out, width, height)
+    kept = np.ones(len(data), bool)
+    for place, length, _ in copies:
+        kept[place : place + length] = False
+    kind, data, _, values = _transformed(data, width, _bits(data[kept] if copies else data) + 40 * len(copies))
+    if kind is not None:
+        copies = ()
+        _write_transform(out, kind, width, height, values)
+    out.put(0, 1)  # no more transforms
     out.put(0, 1)  # no colour cache
     out.put(0, 1)  # one group of codes
     runs, at = [], 0
@@ -668,7 +747,7 @@ def encode_grey(samples: bytes, width: int, copies: list[tuple[int, int, int]] =
         distances[b] = distances.get(b, 0) + 1
     lengths = code_lengths(greens)
     _write_code(out, lengths, ALPHABETS[0])
-    for only in (0, 0, 255):
+    for only in (0, 0, 0 if kind == PREDICTOR else 255):
         _write_code(out, {only: 1}, 256)
     spans = code_lengths(distances or {0: 1})
     _write_code(out, spans, ALPHABETS[4])

@@ -86,6 +86,47 @@ def test_payloads(text):
     assert media.load(stored).tobytes()[: len(data)] == data and media.store(data) == stored
 
 
+def kind_of(stored):
+    """The first transform of a file, none if it has none."""
+    bits = webp.Bits(webp._chunk(stored))
+    for n in (8, 14, 14, 1, 3):
+        bits.take(n)
+    return bits.take(2) if bits.take(1) else None
+
+
+@pytest.mark.parametrize(
+    "data, kind",
+    [
+        (b"0110" * 160, webp.PALETTE), (b"0123456789+-" * 300, webp.PALETTE), (bytes(k * 3 % 256 for k in range(6400)), webp.PREDICTOR),
+        (b"".join(bytes([(37 * x * x + y) % 256 for x in range(64)]) for y in range(100)), webp.PREDICTOR), ("Plain words, of the ordinary kind; nothing else is in them. ".encode() * 3, None),
+    ],
+)
+def test_the_smallest_form_is_chosen(data, kind):
+    stored = media.store(media.payload(data))
+    assert kind_of(stored) == kind and media.load(stored).tobytes()[: len(data)] == data
+
+
+@pytest.mark.parametrize("mode", [1, 2])
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (9, 1), (13, 17)])
+def test_running_sums_are_the_prediction_undone(mode, shape):
+    pixels = np.random.default_rng(mode).integers(0, 1 << 32, shape, dtype=np.uint32)
+    rest = np.random.default_rng(9).integers(0, 1 << 32, shape, dtype=np.uint32).reshape(-1)
+    h, w = shape
+    rows = [[0] * w for _ in range(h)]
+    for y in range(h):
+        for x in range(w):
+            rows[y][x] = webp._add(int(rest[y * w + x]), webp._prediction(rows, x, y, w, mode))
+    assert webp._undo_predictor(rest, w, h, np.array([mode << 8], np.uint32), 9).tolist() == [p for row in rows for p in row]
+    assert (webp.decode(webp.encode(pixels, (0,), mode=mode, tile_bits=9)) == pixels).all()
+
+
+def test_payloads_of_several_files(monkeypatch):
+    monkeypatch.setattr(media, "FILE_BYTES", 256)
+    data = media.payload(b"a line that is long enough to count\n" * 30 + bytes(range(256)))
+    stored = media.store(data)
+    assert stored.count(b"RIFF") == -(-len(data) // 256) and media.load(stored).tobytes()[: len(data)] == data
+
+
 def test_repeated_lines_are_references():
     line = b"some words that stand in a line of their own\n"
     data = media.payload(line * 200)
