@@ -7,7 +7,8 @@ so each pair meets in the block of some choice of equal parts and none is lost.
 parts follows the number of fingerprints, so that blocks stay small. A block that is larger than a
 tile is dealt out as pairs of tiles. From each comparison only links that span its own components
 come out, never all pairs. Components are joined by rounds of large-star and small-star steps
-over written tables.
+over written tables. Fingerprints and components that hold a large share of all rows meet their rows by a broadcast.
+Star rounds that have not settled after `most_rounds` raise an error; they halve what is open, so that needs a graph of no real size.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others. Repeated
 rows each get their row. A null doc_id takes part and never names a component, unless all ids of it are null.
@@ -27,6 +28,8 @@ from quillmine.llm.common import WORDS, persist, slices, small_batches, utf8
 RADIUS = 3
 SHINGLE = 3
 TILE = 2048
+#: A key with more than this part of all rows is common; there are fewer common keys than this.
+COMMON = 10_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -173,10 +176,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id that links reach) of every row."""
     fps = persist(fingerprints(docs, shingle), "fingerprints")
-    distinct = persist(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = persist(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
-    owned = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    names = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = persist(owned.join(names, "root").select(F.col("fp").alias("class_fp"), "component_id"), "classes")
-    joined = fps.join(classes, fps.fp == classes.class_fp)
+    owned = persist(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root")), "owned")
+    names = persist(owned.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "names")
+    classes = persist(joined_by_share(owned.drop("first_id"), names, "root", "members").select("fp", "n", "component_id"), "classes")
+    joined = joined_by_share(fps, classes, "fp", "n")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def joined_by_share(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the one fact of their key; facts: key, the number of rows that have it, and more.
+
+    Keys that have more than one row in COMMON, fewer than COMMON keys by arithmetic, are broadcast, so no task of the
+    shuffled join gets more than a small share of the rows for one key.
+    """
+    total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    common = F.broadcast(facts.where(F.col(count) * COMMON > total).drop(count))
+    rare = facts.where(F.col(count) * COMMON <= total).drop(count)
+    others = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(rare, key)
+    return rows.join(common, key).unionByName(others)

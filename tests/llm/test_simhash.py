@@ -117,3 +117,15 @@ def test_query(spark):
     got = sorted(queries_simhash.op8_simhash(spark, sf).collect(), key=lambda x: x.doc_id)
     assert [x.fingerprint for x in got] == [format(v, "016x") for v in values]
     assert [x.component_id for x in got] == [docs[i].doc_id for i in components_of(values)]
+
+
+@pytest.mark.parametrize("common", [1, 3, 10_000])
+def test_common_keys_meet_their_rows(spark, monkeypatch, common):
+    """Whatever part of the keys is broadcast, each row meets its one fact."""
+    monkeypatch.setattr(simhash, "COMMON", common)
+    keys = [0] * 40 + [1] * 15 + [2, 3, 3, 4]
+    rows = spark.createDataFrame(list(enumerate(keys)), "row long, k long")
+    facts = spark.createDataFrame([(k, keys.count(k), f"f{k}") for k in set(keys)], "k long, n long, fact string")
+    got = simhash.joined_by_share(rows, facts, "k", "n").select("row", "fact").collect()
+    assert sorted(map(tuple, got)) == [(i, f"f{k}") for i, k in enumerate(keys)]
+    assert simhash.joined_by_share(rows.limit(0), facts.limit(0), "k", "n").count() == 0
