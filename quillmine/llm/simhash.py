@@ -8,7 +8,7 @@ parts follows the number of fingerprints, so that blocks stay small. A block tha
 tile is dealt out as pairs of tiles. From each comparison only links that span its own components
 come out, never all pairs. Components are joined by rounds of large-star and small-star steps
 over written tables. Fingerprints and components that hold a large share of all rows meet their rows by a broadcast.
-Star rounds that have not settled after `most_rounds` raise an error; they halve what is open, so that needs a graph of no real size.
+Star rounds that have not settled after `most_rounds` raise an error, never a wrong result.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others. Repeated
 rows each get their row. A null doc_id takes part and never names a component, unless all ids of it are null.
