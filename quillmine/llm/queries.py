@@ -7,6 +7,7 @@ from quillmine.llm import (
     queries_fracsketch,
     queries_licenses,
     queries_media,
+    queries_merkle,
     queries_mixing,
     queries_packing,
     queries_passages,
@@ -16,7 +17,7 @@ from quillmine.llm import (
     queries_urls,
 )
 
-_MODULES = (queries_toxicity, queries_media, queries_urls, queries_mixing, queries_chat, queries_substring, queries_packing, queries_simhash, queries_fracsketch, queries_licenses, queries_passages)
+_MODULES = (queries_toxicity, queries_media, queries_urls, queries_mixing, queries_chat, queries_substring, queries_packing, queries_simhash, queries_fracsketch, queries_licenses, queries_merkle, queries_passages)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
