@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillmine.llm import (
     queries_chat,
+    queries_compaction,
     queries_fracsketch,
     queries_licenses,
     queries_media,
@@ -17,7 +18,7 @@ from quillmine.llm import (
     queries_urls,
 )
 
-_MODULES = (queries_toxicity, queries_media, queries_urls, queries_mixing, queries_chat, queries_substring, queries_packing, queries_simhash, queries_fracsketch, queries_licenses, queries_merkle, queries_passages)
+_MODULES = (queries_toxicity, queries_media, queries_urls, queries_mixing, queries_chat, queries_substring, queries_packing, queries_simhash, queries_fracsketch, queries_licenses, queries_merkle, queries_compaction, queries_passages)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
