@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmine.llm.bwt import grams, merged_intervals, shard_transform, symbol_numbers
-from quillmine.llm.common import slices, small_batches, utf8
+from quillmine.llm.common import persist, slices, small_batches, utf8
 from quillmine.llm.substring import _anchors
 from quillmine.llm.wordhash import mix, text_bytes
 
@@ -221,7 +221,9 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, most_contexts: int =
     texts = keyed.select(F.col("__own").alias("own"), F.col("__key").alias("key"), "text").where(F.octet_length("text") >= length)
     counts = texts.select("text").mapInArrow(_anchor_rows(length, True), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     parts = (1 + F.floor(F.col("n") / most_contexts)).cast("int").alias("parts")
-    places = texts.mapInArrow(_anchor_rows(length, False), "gram long, own long, key long, packed long").join(counts.select("gram", parts), "gram")
+    # A written table: Spark splits a hot gram only where both sides of the join are plain shuffles.
+    repeated = persist(counts.select("gram", parts), "grams")
+    places = texts.mapInArrow(_anchor_rows(length, False), "gram long, own long, key long, packed long").join(repeated, "gram")
     listed = places.groupBy(F.col("own").alias("__o"), F.col("key").alias("__k")).agg(F.collect_set(F.struct("packed", "parts")).alias("__places"))
     # All columns stay, as in the last join of `remove_passages`, so that Spark shuffles the documents once for both.
     cut = keyed.join(listed, (F.col("__own") == F.col("__o")) & (F.col("__key") == F.col("__k"))).drop("__o", "__k")
