@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,39 +8,60 @@ from quillmine.llm import mixing, queries_mixing
 from tests.llm.helpers import frame, odd_docs
 
 
-@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 3, "b": 2, "c": 1}, {"a": 97, "b": 2, "c": 1}, {"a": 50, "b": 25, "c": 13, "d": 12}, {f"s{k}": k + 1 for k in range(20)}])
-def test_deviation_is_below_one_block(shares):
-    slots, total = mixing.frame_slots(shares), sum(shares.values())
-    assert sorted(x for s in slots.values() for x in s) == list(range(total))
-    for s, share in shares.items():
-        for j, at in enumerate(slots[s]):
-            assert j * total // share <= at < -(-(j + 1) * total // share)
-        mine, done = set(slots[s]), 0
-        for t in range(total):
-            done += t in mine
-            assert abs(done * total - (t + 1) * share) < total
+def order_of(counts, size):
+    """Source of each slot, frame by frame, each made on its own."""
+    counts = np.array(counts)
+    total, out = int(counts.sum()), []
+    for k in range(-(-total // size)):
+        start, source, block = mixing.frame_schedule(counts, k, size)
+        assert start == len(out)
+        slot = np.arange(start, start + len(source))
+        assert (block * total // counts[source] <= slot).all() and (slot < -(-(block + 1) * total // counts[source])).all()
+        out += source.tolist()
+    return counts, np.array(out)
+
+
+def worst_deviation(counts, order):
+    """The largest distance of any source's blocks from its weight, over all prefixes."""
+    total, t = int(counts.sum()), np.arange(1, len(order) + 1)
+    assert np.array_equal(np.bincount(order, minlength=len(counts)), counts)
+    return max(np.abs(np.cumsum(order == s) - t * n / total).max() for s, n in enumerate(counts))
+
+
+@pytest.mark.parametrize("size", [7, 50, 10**6])
+@pytest.mark.parametrize("counts", [[1], [3, 2, 1], [97, 2, 1], [50, 25, 13, 12], list(range(1, 21)), [300, 300, 300, 99, 1], [1] * 40, [333, 333, 334], [500, 1, 1, 1], [211, 211, 211, 211, 156]])
+def test_deviation_is_below_one_block(counts, size):
+    assert worst_deviation(*order_of(counts, size)) < 1
+
 
+@pytest.mark.parametrize("total", [40_000, 200_000, 1_000_000])
+def test_deviation_is_below_one_block_at_any_size(total):
+    r = random.Random(total)
+    weights = [r.random() ** 3 + 1e-5 for _ in range(23)]
+    counts = [max(1, int(total * w / sum(weights))) for w in weights]
+    assert worst_deviation(*order_of(counts, 50_000)) < 1
 
-def test_whole_shares():
-    got = mixing.whole_shares({"a": 0.5, "b": 0.3, "c": 0.2, "d": 1e-9}, 100)
-    assert sum(got.values()) == 100 and got["d"] == 1 and got["a"] in (49, 50)
-    assert sum(mixing.whole_shares({f"s{k}": 1 / 3 for k in range(300)}, 100).values()) == 1200
+
+@pytest.mark.parametrize("seed", range(40))
+def test_frames_of_any_mix_fit_together(seed):
+    r = random.Random(seed)
+    counts = [r.randrange(1, 10 ** r.randrange(1, 4)) for _ in range(r.randrange(1, 30))]
+    assert worst_deviation(*order_of(counts, r.randrange(5, 400))) < 1
 
 
 def test_capped():
     blocks = {"hot": 500, "a": 100, "b": 100, "c": 100, "d": 200}
     mix = mixing.target_mix(blocks, mixing.capped_weights(blocks, 0.3))
-    assert mix.kept == {"hot": 214, "a": 100, "b": 100, "c": 100, "d": 200} == mix.shares
+    assert mix.kept == {"hot": 214, "a": 100, "b": 100, "c": 100, "d": 200} and mix.rest == {"hot": 286}
     for even in ({"a": 5, "b": 5}, {"a": 10, "b": 10, "c": 10, "d": 10}):
         assert mixing.target_mix(even, mixing.capped_weights(even, 0.3)).kept == even
-    assert mixing.target_mix({}, mixing.capped_weights({})).shares == {}
+    assert mixing.target_mix({}, mixing.capped_weights({})) == mixing.Mix({}, {})
 
 
 @pytest.mark.parametrize("small", [19, 300, 3000])
-@pytest.mark.parametrize("most_frame", [4000, 10**6])
-def test_the_cap_holds_among_many_sources(small, most_frame):
+def test_the_cap_holds_among_many_sources(small):
     blocks = {"hot": 40_000} | {f"s{k}": 1 + k % 37 for k in range(small)}
-    mix = mixing.target_mix(blocks, mixing.capped_weights(blocks, 0.3), most_frame)
+    mix = mixing.target_mix(blocks, mixing.capped_weights(blocks, 0.3))
     assert all(mix.kept[s] == n for s, n in blocks.items() if s != "hot")
     share = mix.kept["hot"] / sum(mix.kept.values())
     assert 0.3 - 1 / sum(mix.kept.values()) - 1e-3 <= share <= 0.3
@@ -45,7 +69,7 @@ def test_the_cap_holds_among_many_sources(small, most_frame):
 
 def test_given_weights():
     mix = mixing.target_mix({"a": 100, "b": 50, "c": 9, None: 4}, {"a": 1, "b": 1, None: 0.1})
-    assert mix.kept == {"a": 40, "b": 40, None: 4} and mix.shares == {"a": 40, "b": 40, None: 4, "c": 1}
+    assert mix.kept == {"a": 40, "b": 40, None: 4} and mix.rest == {"a": 60, "b": 10, "c": 9}
 
 
 def docs(spark, sizes):
@@ -94,6 +118,16 @@ def test_the_query_by_hand(spark, tmp_path):
             assert abs(order[:k].count(s) - k * n / total) < 1
 
 
+def test_many_frames_are_one_schedule(spark):
+    rows = docs(spark, {"hot": 900, "a": 100, "b": 90, "c": 110, None: 7}).select("source", "doc_id")
+    blocks = mixing.block_counts(rows, 2)
+    mix = mixing.target_mix(blocks, mixing.capped_weights(blocks, 0.3))
+    out = mixing.interleave(rows, mix, 2, frame=20).collect()
+    assert len(out) == 1207 == len({r.position for r in out}) and all(r.release <= r.slot < r.deadline for r in out)
+    assert {r.slot for r in out} == set(range(sum(blocks.values())))
+    assert max(r.slot for r in out if r.in_mix) < min(r.slot for r in out if not r.in_mix)
+
+
 def test_the_same_at_any_partitioning(spark):
     rows = docs(spark, {"hot": 300, "a": 50, "b": 40, "c": 10})
     one = sorted(map(tuple, mixing.places(rows).collect()))
