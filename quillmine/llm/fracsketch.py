@@ -1,17 +1,14 @@
 """Threshold-scaled sketches of documents, with DataFrame functions only.
 
-The sketch of a text is the set of its shingles' hashes below a fixed part of the hash range. Every text is cut
-by the same threshold, so sketches of any sizes can be compared and merged by plain set operations:
-the union's sketch is the union of the sketches, and the share of the smaller sketch that is in the
-other estimates containment, also between very unequal documents.
+The sketch of a text is the set of its shingles' hashes below a fixed part of the hash range: 1 / SCALE of it or, where that
+keeps fewer than `LEAST`, twice as much, and so on up to all hashes. The part follows from the sketch itself (`limit`): it is the first that
+holds LEAST of its hashes. Two sketches are compared below the smaller of their limits, where both are complete, and the
+sketch of a union is made of the union of sketches, so sketches of any sizes can be compared and merged by plain set operations. The share of
+the smaller set that is in the other estimates containment, also between very unequal documents.
 
 Shingles are five words; a shorter text is one shingle, a text without words has none and an empty
-sketch. Containment of two empty sketches is 1, of an empty and another one 0.
-
-A text of n shingles has no hash below the threshold with chance (1 - 1 / SCALE) ** n: 0.75 for a text of up to
-five words, 0.06 at 10 shingles, below 0.0001 from 33 on. Its smallest hash then stands in, so that no text with words has
-an empty sketch, and equal stand-ins still mean a shared shingle; but the sketch says nothing else of
-containment, so `near` compares such texts by all of their shingles.
+sketch. Containment of two empty sketches is 1, of an empty and another one 0. A text of fewer than LEAST shingles keeps all of them, so
+two short texts are compared exactly; a short one beside a long one is compared by what it has below the long one's limit, and is 0 if it has nothing there.
 
 Defined results for neighbours: a null text is empty. The order is doc_id descending, null ids last, ties by text
 hash; each row has one next row, and the last one's next is the first. Other columns are not read.
@@ -28,12 +25,14 @@ from quillmine.llm.common import WORD_SPLIT
 SHINGLE = 5
 #: One hash in SCALE is kept.
 SCALE = 4
+#: Hashes that a sketch has at least, unless its text has fewer.
+LEAST = 16
 BUCKET_ROWS = 2_000
 MOST_BUCKETS = 4_000
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct kept hashes (those below 1 / scale of the range) of a text; the smallest one if it has none there."""
+    """Sorted distinct kept hashes of a text."""
     words = F.filter(F.split(text, WORD_SPLIT), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
@@ -44,27 +43,35 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
         ).otherwise(F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
 
     # An array of one element lets a lambda name the hashes once.
-    kept = F.transform(F.transform(F.array(hashes), shingles), lambda s: _below(s, scale))[0]
-    return F.sort_array(F.array_distinct(kept))
+    return F.transform(F.transform(F.array(hashes), lambda h: F.array_distinct(shingles(h))), lambda s: _cut(s, scale))[0]
+
+
+def _limits(scale: int) -> list[int]:
+    """The largest hashes of the parts that a sketch may keep, from 1 / scale of the range to half of it."""
+    parts = [k for k in (scale >> i for i in range(scale.bit_length())) if k > 1]
+    return [-(1 << 63) + (1 << 64) // k - 1 for k in parts]
 
 
-def _last(scale: int) -> Column:
-    return F.lit(-(1 << 63) + (1 << 64) // scale - 1)
+def limit(values: Column, scale: int = SCALE) -> Column:
+    """The largest hash that a sketch may have; all hashes of its text up to that are in it."""
+    found = F.lit((1 << 63) - 1)
+    for last in reversed(_limits(scale)):
+        found = F.when(F.size(F.filter(values, lambda x: x <= F.lit(last))) >= LEAST, F.lit(last)).otherwise(found)
+    return found
 
 
-def _below(hashes: Column, scale: int) -> Column:
-    """The hashes up to the threshold, or the smallest one if there are none; an empty array stays empty."""
-    kept = F.transform(F.array(F.filter(hashes, lambda x: x <= _last(scale))), lambda k: F.when(F.size(k) > 0, k).otherwise(F.filter(F.array(F.array_min(hashes)), lambda x: x.isNotNull())))
-    return kept[0]
+def _up_to(values: Column, last: Column) -> Column:
+    return F.filter(values, lambda x: x <= last)
 
 
-def stands_in(values: Column, scale: int = SCALE) -> Column:
-    """Whether a sketch is only a stand-in: its text has words but no hash up to the threshold."""
-    return F.coalesce(F.get(values, F.lit(0)) > _last(scale), F.lit(False))
+def _cut(hashes: Column, scale: int) -> Column:
+    """Distinct hashes as a sketch."""
+    return F.sort_array(_up_to(hashes, limit(hashes, scale)))
 
 
 def as_text(values: Column) -> Column:
-    return F.lower(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFFFF))), 10, "0")), ""))
+    """All hashes in order, 16 hexadecimal digits each; the sketch can be read back from it."""
+    return F.lower(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -74,15 +81,17 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, shared / least).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def near(text: Column, values: Column, other: Column, other_values: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Containment of two texts by their sketches, or by all of their shingles where a sketch is a stand-in."""
-    whole = containment(sketch(text, shingle, 1), sketch(other, shingle, 1))
-    return F.when(stands_in(values, scale) | stands_in(other_values, scale), whole).otherwise(containment(values, other_values))
+def near(values: Column, other: Column, scale: int = SCALE) -> Column:
+    """Containment of two texts by their sketches, below the smaller of the sketches' limits."""
+    pair = F.transform(F.array(F.least(limit(values, scale), limit(other, scale))), lambda last: containment(_up_to(values, last), _up_to(other, last)))
+    return pair[0]
 
 
 def merged(sketches: Column, scale: int = SCALE) -> Column:
     """The sketch of all texts of a group, as an aggregate."""
-    return F.sort_array(_below(F.array_distinct(F.flatten(F.collect_set(sketches))), scale))
+    every = F.collect_set(sketches)
+    last = F.array_min(F.transform(every, lambda s: limit(s, scale)))
+    return _cut(F.array_distinct(_up_to(F.flatten(every), last)), scale)
 
 
 def range_limits(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> list[int]:
@@ -106,7 +115,7 @@ def neighbours(docs: DataFrame, sketched: bool = True, bucket_rows: int = BUCKET
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1))  # a literal would turn the joins below into loops
     rows = rows.withColumn("bucket", bucket.cast("int"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    place = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("less"), F.xxhash64("text").alias("hash"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("less"), F.xxhash64("text").alias("hash"))
     # The first row of each range also goes, marked, to the range before it, and the very first one to the last.
     firsts = rows.groupBy("bucket").agg(F.min(place).alias("first"))
     heads = [r.bucket for r in firsts.select("bucket").orderBy("bucket").collect()]  # MOST_BUCKETS at most

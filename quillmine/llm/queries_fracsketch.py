@@ -20,8 +20,8 @@ def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        near(F.col("text"), F.col("fp"), F.col("edited"), F.col("edited_fp")).alias("near_edited"),
-        near(F.col("text"), F.col("fp"), F.col("next_text"), F.col("next_fp")).alias("near_next"),
+        near(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        near(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
 
 

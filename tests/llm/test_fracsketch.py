@@ -1,11 +1,42 @@
 import hashlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from quillmine.llm import fracsketch, queries_fracsketch
 from tests.llm.helpers import WORD, frame, odd_docs, rng, words_text
 
 
+def shingle_hashes(text):
+    """Spark's hashes of five-word shingles: a word's hash, and the hashes of five words in a chain."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [xxhash.xxh64_intdigest((w if isinstance(w, bytes) else w.encode()), 42) for w in WORD.findall(text)]
+
+    def chain(part):
+        held = 42
+        for w in part:
+            held = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), held)
+        return signed(held)
+
+    return {chain(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def sketch_by_hand(hashes, parts=(4, 2)):
+    for k in parts:
+        kept = {h for h in hashes if h < -(1 << 63) + (1 << 64) // k}
+        if len(kept) >= 16:
+            return kept, -(1 << 63) + (1 << 64) // k - 1
+    return hashes, (1 << 63) - 1
+
+
+def near_by_hand(a, b):
+    (x, lx), (y, ly) = sketch_by_hand(a), sketch_by_hand(b)
+    x, y = ({h for h in s if h <= min(lx, ly)} for s in (x, y))
+    if not x or not y:
+        return float(len(x) == len(y))
+    return len(x & y) / min(len(x), len(y))
+
+
 def ring_by_hand(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
     return {r[0]: (r[1] or "", order[(k + 1) % len(order)][1] or "") for k, r in enumerate(order)}
@@ -21,15 +52,18 @@ def test_ring(spark):
 
 
 def test_sketch_by_hand(spark):
-    """The threshold keeps the same hashes whatever the document; the hash of a shingle is checked through Spark's own."""
-    text = "a b c d e f g a b c d e"
-    words = WORD.findall(text)
-    shingles = [words[i : i + 5] for i in range(len(words) - 4)]
-    rows = spark.createDataFrame([(s,) for s in shingles], "w array<string>").select(F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    hashes = {r[0] for r in rows.select(F.xxhash64(*(F.col("h")[i] for i in range(5)))).collect()}
-    for scale in (1, 2, 4):
-        got = spark.createDataFrame([(text,)], "t string").select(fracsketch.sketch(F.col("t"), scale=scale)).first()[0]
-        assert got == sorted(h for h in hashes if h < -(1 << 63) + (1 << 64) // scale)
+    r = rng(4)
+    texts = ["", "one", "a b c d e f g a b c d e", *(words_text(r, n) for n in (4, 5, 10, 19, 20, 40, 46, 50, 54, 70, 200, 2000))]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("s", fracsketch.sketch(F.col("t")))
+    got = rows.select("k", "s", fracsketch.limit(F.col("s")), fracsketch.as_text(F.col("s"))).orderBy("k").collect()
+    for (k, s, last, shown), text in zip(got, texts):
+        want, limit = sketch_by_hand(shingle_hashes(text))
+        assert (s, last) == (sorted(want), limit)
+        assert [int.from_bytes(bytes.fromhex(shown[i : i + 16]), "big", signed=True) for i in range(0, len(shown), 16)] == s
+    assert len({g[2] for g in got}) == 3
+    for scale, parts in ((1, ()), (2, (2,)), (8, (8, 4, 2))):
+        text = texts[-2]
+        assert spark.createDataFrame([(text,)], "t string").select(fracsketch.sketch(F.col("t"), scale=scale)).first()[0] == sorted(sketch_by_hand(shingle_hashes(text), parts)[0])
 
 
 def test_containment_is_estimated(spark):
@@ -44,26 +78,24 @@ def test_containment_is_estimated(spark):
     assert abs(mixed - 0.25) < 0.08
 
 
-def test_short_texts_are_compared_whole(spark):
-    """Of 60 different short texts most have no hash below the threshold; their sketches differ, and containment is exact."""
+def test_near_by_hand(spark):
+    """Texts of all lengths against each other: equal levels, unequal ones, empty ones."""
     r = rng(8)
-    texts = [words_text(r, 6) for _ in range(60)]  # two shingles
-    long = " ".join([*texts[0].split(), words_text(r, 500)])
-    pairs = [(t, u) for t, u in zip(texts, texts[1:])] + [(t, t) for t in texts] + [(t, f"{t} more") for t in texts] + [(texts[0], long), ("", texts[0]), ("", "")]
+    texts = ["", "a b", *(words_text(r, n, 60) for n in (3, 6, 12, 25, 40, 60, 90, 300))]
+    texts += [f"{t} {u}" for t, u in zip(texts, texts[1:])]
+    pairs = [(a, b) for a in texts for b in texts]
     rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").withColumn("x", fracsketch.sketch(F.col("a"))).withColumn("y", fracsketch.sketch(F.col("b")))
-    got = rows.withColumn("near", fracsketch.near(F.col("a"), F.col("x"), F.col("b"), F.col("y"))).withColumn("alone", fracsketch.stands_in(F.col("x"))).orderBy("k").collect()
-    assert sum(g.alone for g in got[:59]) > 20 and all(len(g.x) >= 1 for g in got[:59]) and len({tuple(g.x) for g in got[59:119]}) == 60
-    assert [g.near for g in got[:59]] == [0.0] * 59 and [g.near for g in got[59:]] == [1.0] * 121 + [0.0, 1.0]
+    got = [g[0] for g in rows.orderBy("k").select(fracsketch.near(F.col("x"), F.col("y"))).collect()]
+    assert got == [near_by_hand(shingle_hashes(a), shingle_hashes(b)) for a, b in pairs]
+    assert 0.0 < sum(got) / len(got) < 1.0
 
 
-def test_merged_stand_ins(spark):
+def test_merged_sketches_are_those_of_the_union(spark):
     r = rng(11)
-    texts = [(k % 9, words_text(r, 5 + k % 3)) for k in range(27)]
+    texts = [(k % 9, words_text(r, 5 + (k % 9) * (k % 4) * 9)) for k in range(27)] + [(8, "")]
     rows = spark.createDataFrame(texts, "g int, t string")
-    every = rows.select("g", F.explode(fracsketch.sketch(F.col("t"), scale=1)).alias("h")).groupBy("g").agg(F.collect_set("h").alias("h")).collect()
-    last = -(1 << 63) + (1 << 62) - 1
-    want = {x.g: sorted(h for h in x.h if h <= last) or [min(x.h)] for x in every}
     got = rows.withColumn("s", fracsketch.sketch(F.col("t"))).groupBy("g").agg(fracsketch.merged(F.col("s")).alias("s")).collect()
+    want = {g: sorted(sketch_by_hand(set().union(*(shingle_hashes(t) for k, t in texts if k == g)))[0]) for g in range(9)}
     assert {x.g: x.s for x in got} == want
 
 
@@ -85,6 +117,11 @@ def test_odd_rows(spark):
     assert alone.next_text == "just one"
 
 
+def test_smallest_id(spark):
+    docs = frame(spark, ["a", "b", "c"], ids=[-(1 << 63), 0, 5])
+    assert {r.text: r.next_text for r in fracsketch.neighbours(docs).collect()} == {"c": "b", "b": "a", "a": "c"}
+
+
 def test_no_python_in_the_plan(spark):
     plan = queries_fracsketch.op9_scaled_sketch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
@@ -100,5 +137,8 @@ def test_query(spark):
         text, after = ring[r.doc_id]
         half = len(text) // 2
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
-        assert seen.setdefault(text, r.fingerprint) == r.fingerprint and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert seen.setdefault(text, r.fingerprint) == r.fingerprint
+        own, edited = shingle_hashes(text), shingle_hashes(text[: len(text) - half] + after[:half])
+        assert (r.near_edited, r.near_next) == (near_by_hand(own, edited), near_by_hand(own, shingle_hashes(after)))
+        assert r.edited_fingerprint == "".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(sketch_by_hand(edited)[0]))
     assert sum(r.near_edited for r in rows) / len(rows) > 0.4 > 0.1 > sum(r.near_next for r in rows) / len(rows)
