@@ -89,7 +89,11 @@ class ToxicityModel:
             elif weight > hits.get(start, 0.0):
                 hits[start] = weight
         if spared:
-            hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in spared)}
+            edge = np.zeros(len(folded) + 1, np.int32)
+            np.add.at(edge, [a for a, _ in spared], 1)
+            np.add.at(edge, [b for _, b in spared], -1)
+            inside = np.cumsum(edge) > 0
+            hits = {s: w for s, w in hits.items() if not inside[s]}
         total, n = sum(hits.values()), max(1, folded.count(" ") - 1)
         return max(hits.values(), default=0.0), total / math.sqrt(n), 20.0 * total / max(n, 20)
 

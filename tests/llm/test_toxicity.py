@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import pytest
@@ -89,3 +90,16 @@ def test_query(spark):
     rows = queries_toxicity.op1_toxicity(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_a_long_text_of_exceptions_takes_linear_time():
+    model = toxicity.ToxicityModel({" idiot ": 2.0, " other ": 1.0}, (" iovabie idiot ",), ())
+    automaton = model.automaton()
+    spent = []
+    for n in (20_000, 80_000):
+        text = "lovable idiot " * n + "idiot"
+        start = time.perf_counter()
+        signals = model.signals(text, automaton)
+        spent.append(time.perf_counter() - start)
+        assert signals[0] == 2.0
+    assert spent[1] < 12 * spent[0] + 0.5
