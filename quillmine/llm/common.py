@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmine.sources.shipping import ship
+from quillmine.sources.tables import shared_folder
 
 #: Words are runs of anything but ASCII white space.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -29,12 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    """The shared folder of the cluster; only a local session may leave it unset."""
+    return shared_folder(spark)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -20,14 +20,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmine.llm.common import persist, slices, small_batches, utf8
 from quillmine.llm.ranks import ranked
 from quillmine.llm.wordhash import text_bytes
 
 CAPACITY = 2048
+#: Documents that are packed together where their order counts; a task holds their pieces, without ids.
+SEGMENT_ROWS = 50_000
 END = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces in each of the two generations that a worker remembers; bounds memory, not results.
@@ -172,8 +176,8 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """One row a piece: doc_id, copy (tells repeated rows apart), piece, start, length, ids_crc32, and ids if asked for."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, copy: Column | None = None) -> DataFrame:
+    """One row a piece: doc_id, copy (tells repeated rows apart; a number of one's own if given), piece, start, length, ids_crc32, and ids if asked for."""
     path = path or tokenizer_path()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, copy long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
 
@@ -197,7 +201,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return small_batches(docs).select("doc_id", F.monotonically_increasing_id().alias("copy"), "text").mapInArrow(run, schema)
+    number = F.monotonically_increasing_id() if copy is None else copy.cast("long")
+    return small_batches(docs).select("doc_id", number.alias("copy"), "text").mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -260,6 +265,20 @@ def _places(combinations: list[tuple[dict[int, int], int]]) -> dict[int, tuple[n
     return {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in runs.items()}
 
 
+def _dealt(table: dict[int, tuple[np.ndarray, ...]], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces, by their rank among those of their length."""
+    sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+    order = np.argsort(length, kind="stable")
+    kinds, starts = np.unique(length[order], return_index=True)
+    for k, own in zip(kinds, np.split(order, starts[1:])):
+        first, base, each, at = table[int(k)]
+        run_no = np.searchsorted(first, rank[own], side="right") - 1
+        inside = rank[own] - first[run_no]
+        sequence[own] = base[run_no] + inside // each[run_no]
+        offset[own] = at[run_no] + inside % each[run_no] * int(k)
+    return sequence, offset
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 2_000) -> DataFrame:
     """parts (length and any columns) with sequence_id and offset. parts must give the same rows each time; a written table does."""
     histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -270,31 +289,57 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 2_000) -
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset int"
 
     def run(batches):
-        table = places.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("__rank").to_numpy(zero_copy_only=False).astype(np.int64)
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            order = np.argsort(length, kind="stable")
-            kinds, starts = np.unique(length[order], return_index=True)
-            for k, own in zip(kinds, np.split(order, starts[1:])):
-                first, base, each, at = table[int(k)]
-                run_no = np.searchsorted(first, rank[own], side="right") - 1
-                inside = rank[own] - first[run_no]
-                sequence[own] = base[run_no] + inside // each[run_no]
-                offset[own] = at[run_no] + inside % each[run_no] * int(k)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset, pa.int32())], [*names, "sequence_id", "offset"])
+            if batch.num_rows:
+                length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
+                sequence, offset = _dealt(places.value, length, rank.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset, pa.int32())], [*names, "sequence_id", "offset"])
 
     return rows.select(*names, "__rank").mapInArrow(run, schema)
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs with __place, the number of each row in the order in which its table was written; what doesn't come from files is written first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = persist(docs, "in-order")
+    laid = docs.select(*docs.columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = laid.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))  # a row a file; names of part files sort as they were written
+    before = Window.orderBy(F.length("__file"), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = persist(sizes.select(F.col("__file").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")), "file-starts")
+    return laid.join(starts, F.col("__file") == F.col("__of")).select(*docs.columns, (F.col("__start") + F.col("__row")).alias("__place"))
+
+
+def pack_in_order(parts: DataFrame, capacity: int = CAPACITY, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """As `pack`, but sequences follow the documents' places (copy): each run of `segment_rows` documents is packed by itself, in one task, and its sequences are numbered before those of the next."""
+    names = parts.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset int"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("copy", "ascending"), ("piece", "ascending")])
+        length = table.column("length").to_numpy()
+        kinds, counts = np.unique(length, return_counts=True)
+        order = np.argsort(length, kind="stable")
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+        sequence, offset = _dealt(_places(plan(dict(zip(kinds.tolist(), counts.tolist())), capacity)), length, rank)
+        segment = table.column("__segment")[0].as_py()
+        return pa.table([*(table.column(c) for c in names), pa.array(sequence + (segment << 32)), pa.array(offset, pa.int32())], names=[*names, "sequence_id", "offset"])
+
+    return parts.withColumn("__segment", F.floor(F.col("copy") / segment_rows).cast("long")).groupBy("__segment").applyInArrow(run, schema)
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenize and pack all documents; the pieces are written to the shared folder, so that each is tokenized once."""
     return pack(persist(pieces(docs, path, capacity, with_ids=with_ids), "pieces"), capacity)
 
 
+def pack_documents_in_order(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """`pack_in_order` of all documents in the order in which they were written."""
+    return pack_in_order(persist(pieces(in_file_order(docs.select("doc_id", "text")), path, capacity, copy=F.col("__place")), "pieces"), capacity, segment_rows)
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences: their pieces in order, and the ids one after another (at most the capacity)."""
     inside = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
