@@ -33,8 +33,8 @@ def order_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of at most 2048 tokens."""
-    packed = packing.pack_documents(docs)
+    """The place of every piece of every document in sequences of at most 2048 tokens, numbered in the mix's order: runs of 50,000 documents of that order are packed one after the other."""
+    packed = packing.pack_documents_in_order(docs)
     return packed.selectExpr("doc_id", "piece", "start", "cast(length as long) as length", "ids_crc32", "sequence_id", "cast(offset as long) as offset")
 
 
