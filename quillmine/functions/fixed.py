@@ -20,11 +20,10 @@ SYNONYM_GROUPS: tuple[tuple[str, ...], ...] = (
 )
 
 #: Questions that ask for a list of things.
-LIST_NOUNS = "专业|课程|项目|学院|学系|部门|方向|服务|设施"
 AGGREGATE_PATTERNS = (
-    f"(?:有|包含|开设|提供)(?:哪|什么)(?:些|几)(?:{LIST_NOUNS})",
-    f"(?:全部|所有|完整)(?:的)?(?:{LIST_NOUNS}|清单|列表)",
-    f"(?:列出|罗列|汇总|盘点).{{0,12}}(?:{LIST_NOUNS})",
+    "(?:有|包含|开设|提供)(?:哪|什么)(?:些|几)(?:专业|课程|项目|学院|学系|部门|方向|服务|设施)",
+    "(?:全部|所有|完整)(?:的)?(?:专业|课程|项目|学院|学系|部门|方向|服务|设施|清单|列表)",
+    "(?:列出|罗列|汇总|盘点).{0,12}(?:专业|课程|项目|学院|学系|部门|方向|服务|设施)",
     r"(?i)\b(?:list|all)\b.{0,40}\b(?:majors?|programmes?|programs?|courses?|departments?|services?)\b",
     r"(?i)\bwhat\b.{0,40}\b(?:majors?|programmes?|programs?|courses?)\b.{0,20}\b(?:offer|available)\w*\b",
 )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmine.functions import fixed
+from quillmine.functions.conversion import Conversion
 
 #: White space as Python's str.strip and \s see it, for Java patterns.
 SPACE = r"[\s\x1c-\x1f]"
@@ -53,28 +54,32 @@ _T2S = str.maketrans(fixed.TRADITIONAL)
 _CODE = (re.compile(r"\b([a-z]{2,4})\s*t\s*(\d{4}[a-z]?)\b"), re.compile(r"\b([a-z]{2,4})\s+(\d{4}[a-z]?)\b"))
 
 
-def search_form(text: str) -> str:
-    """The form in which texts are compared, for a Python string."""
+def search_form(text: str, conversion: Conversion | None = None) -> str:
+    """The form in which texts are compared, for a Python string. conversion: a table in place of the built-in characters."""
     out = unicodedata.normalize("NFKC", text).lower()
     out = _CODE[1].sub(r"\1\2", _CODE[0].sub(r"\1t\2", out))
-    return re.sub(r"\s+", " ", out.translate(_T2S)).strip()
+    return re.sub(r"\s+", " ", conversion.convert(out) if conversion else out.translate(_T2S)).strip()
 
 
-@F.pandas_udf(T.StringType())
-def _search_form(texts: pd.Series) -> pd.Series:
-    return texts.map(search_form, na_action="ignore")
+def _search_form(text: Column, conversion: Conversion | None) -> Column:
+    @F.pandas_udf(T.StringType())
+    def formed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: search_form(t, conversion), na_action="ignore")
 
+    return formed(text)
 
-def search_text(text: Column, any_script: bool = True) -> Column:
+
+def search_text(text: Column, any_script: bool = True, conversion: Conversion | None = None) -> Column:
     """The form in which texts are compared: compatibility form, lower case, joined codes, simplified characters, single spaces.
 
-    Texts of plain Latin letters stay in the JVM; with any_script others go to Python.
+    With any_script every row passes through Python, those of plain Latin letters as nulls whose form the JVM makes; without it all stays in the JVM.
+    conversion: a table of phrases and characters in place of the built-in characters.
     """
     native = clean(_joined_codes(F.lower(text)))
     if not any_script:
         return native
     plain = text.rlike(r"\A[\x00-\x7EÀ-ÿ]*\z")
-    return F.when(plain, native).otherwise(_search_form(F.when(~plain, text)))
+    return F.when(plain, native).otherwise(_search_form(F.when(~plain, text), conversion))
 
 
 def tokens_of(form: Column) -> Column:
@@ -88,8 +93,8 @@ def tokens_of(form: Column) -> Column:
     return F.concat(latin, single, pairs)
 
 
-def tokens(text: Column, any_script: bool = True) -> Column:
-    return tokens_of(search_text(text, any_script))
+def tokens(text: Column, any_script: bool = True, conversion: Conversion | None = None) -> Column:
+    return tokens_of(search_text(text, any_script, conversion))
 
 
 def detect_language(text: Column) -> Column:

@@ -1,7 +1,10 @@
 """Incremental maintenance of the chunk table: what changed, new chunks in place of old ones, and a manifest of what is indexed.
 
-Chunks: chunk_id, kind ("pdf" or "web"), key (path or address), document, page, chunk_index, text and more.
+Chunks: ordinal (their order of insertion), chunk_id, kind ("pdf" or "web"), key (path or address), document, page, chunk_index, text, tokens and more.
 Manifest: kind, key, hash, document, configuration, n_chunks.
+Statistics: token, df, as signed counts that each commit adds to.
+All three change in one commit (quillmine.sources.commits): only buckets with a changed file are written anew, tokens are made when a chunk is stored,
+and what a commit takes away or brings is added to the counts, so an update looks at no chunk that stays.
 """
 
 from __future__ import annotations
@@ -17,7 +20,10 @@ from quillmine.functions.config import Settings
 from quillmine.functions.errors import IndexUnavailable
 from quillmine.operators.chunking import split_pages
 from quillmine.operators.html import split_web_pages
-from quillmine.sources.tables import Snapshots, persist
+from quillmine.functions.text import tokens
+from quillmine.operators.lexical import LexicalIndex
+from quillmine.sources.commits import BUCKETS, Change, CommitLog, Version
+from quillmine.sources.tables import numbered, persist
 
 MANIFEST_SCHEMA = "kind string, key string, hash string, document string, configuration string, n_chunks long"
 
@@ -76,45 +82,84 @@ class IndexReport:
     chunks_added: int
 
 
+def token_counts(chunks: DataFrame, sign: int) -> DataFrame:
+    """token and df: in how many of the chunks (tokens) it is, times the sign."""
+    return chunks.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg((sign * F.count(F.lit(1))).alias("df"))
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
+
+
+class _Table:
+    """A table of the log, at its last version."""
+
+    def __init__(self, log: CommitLog, name: str):
+        self.log, self.name = log, name
+
+    def read(self) -> DataFrame | None:
+        return self.log.read(self.name)
+
+
 class ChunkIndex:
-    """The chunk table and its manifest as versioned snapshots under a path.
+    """The chunk table, its manifest and its token statistics under a path, as one commit log.
 
     With an encoder new chunks are stored with their vectors, which `retrieval.vector_backend` searches; unchanged ones keep theirs.
     Chunks that were stored without one have no vector until their file or page changes, so give the encoder from the start.
+    Of two updates at a time one makes its version and the other starts again from that.
     """
 
-    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), encode: Callable[[Column], Column] | None = None):
-        self.spark, self.settings, self.encode = spark, settings, encode
-        self.chunks, self.manifest = Snapshots(spark, f"{path}/chunks"), Snapshots(spark, f"{path}/manifest")
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), encode: Callable[[Column], Column] | None = None, buckets: int = BUCKETS, any_script: bool = True):
+        self.spark, self.settings, self.encode, self.any_script = spark, settings, encode, any_script
+        self.log = CommitLog(spark, path, {"chunks": ["kind", "key"], "manifest": ["kind", "key"]}, buckets)
+        self.chunks, self.manifest = _Table(self.log, "chunks"), _Table(self.log, "manifest")
 
     @property
     def configuration(self) -> str:
         return json.dumps(self.settings.index_configuration(), sort_keys=True)
 
-    def read_manifest(self) -> DataFrame:
-        found = self.manifest.read()
+    def read_manifest(self, version: Version | None = None) -> DataFrame:
+        found = self.log.read("manifest", version)
         return self.spark.createDataFrame([], MANIFEST_SCHEMA) if found is None else found
 
     def _update(self, kind: str, current: DataFrame, make, configuration: str | None, prune_deleted: bool) -> IndexReport:
-        manifest = self.read_manifest()
+        report: list[IndexReport] = []
+
+        def attempt(base: Version) -> Version:
+            found, version = self._commit(kind, current, make, configuration, prune_deleted, base)
+            report[:] = [found]
+            return version
+
+        self.log.retried(attempt)
+        return report[0]
+
+    def _commit(self, kind: str, current: DataFrame, make, configuration: str | None, prune_deleted: bool, base: Version) -> tuple[IndexReport, Version]:
+        manifest = self.read_manifest(base)
         status = persist(changes(current.dropDuplicates(["key"]), manifest, kind, configuration), "changes")
-        todo = status.where("status <> 'unchanged'").select("key")
-        made_now = make(todo)
-        new = persist(made_now if self.encode is None else made_now.withColumn("vector", self.encode(F.col("text"))), "chunks")
+        made_now = make(status.where("status <> 'unchanged'").select("key")).withColumn("tokens", tokens(F.col("text"), self.any_script))
+        made_now = made_now if self.encode is None else made_now.withColumn("vector", self.encode(F.col("text")))
+        first = base.values.get("next_ordinal", 0)
+        new = persist(numbered(made_now, [F.col("key"), F.col("page"), F.col("chunk_index")], first, "chunks"), "chunks-numbered")
         made = new.groupBy("kind", "key", "hash", "document").agg(F.count(F.lit(1)).alias("n_chunks")).withColumn("configuration", F.lit(self.configuration))
-        made = persist(made, "made")
-        counts = status.agg(F.count_if(F.col("status") == "unchanged"), F.count_if(F.col("status") != "unchanged")).first()
+        made = persist(made.select("kind", "key", "hash", "document", "configuration", "n_chunks"), "made")
+        unchanged, changed = status.agg(F.count_if(F.col("status") == "unchanged"), F.count_if(F.col("status") != "unchanged")).first()
         indexed, added = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_chunks"), F.lit(0))).first()
-        gone = manifest.where(F.col("kind") == kind).join(current.select("key"), "key", "left_anti") if prune_deleted else None
-        if indexed or (gone is not None and not gone.isEmpty()):
-            kept = replace_chunks(self.chunks.read(), new)
-            listed = manifest.join(made.select("kind", "key"), ["kind", "key"], "left_anti").unionByName(made)
-            if gone is not None:
-                kept = kept.join(gone.select("kind", "key"), ["kind", "key"], "left_anti")
-                listed = listed.join(gone.select("kind", "key"), ["kind", "key"], "left_anti")
-            self.chunks.write(kept)
-            self.manifest.write(listed.select("kind", "key", "hash", "document", "configuration", "n_chunks"))
-        return IndexReport(indexed, counts[0], counts[1] - indexed, added)
+        report = IndexReport(indexed, unchanged, changed - indexed, added)
+        leaving = made.select("kind", "key")
+        if prune_deleted:
+            leaving = leaving.unionByName(manifest.where(F.col("kind") == kind).join(current.select("key"), "key", "left_anti").select("kind", "key"))
+        leaving = persist(leaving, "leaving")
+        if leaving.isEmpty():
+            return report, base
+        old = self.log.read("chunks", base, self.log.touched("chunks", Change(leaving)))
+        signed, count, length = token_counts(new, 1), added, new.agg(F.sum(F.size("tokens"))).first()[0] or 0
+        if old is not None:
+            gone = persist(old.select("kind", "key", "tokens").join(leaving, ["kind", "key"], "left_semi"), "gone")
+            minus, shorter = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+            signed, count, length = signed.unionByName(token_counts(gone, -1)), count - minus, length - shorter
+        values = {"next_ordinal": first + added, "count": base.values.get("count", 0) + count, "length": base.values.get("length", 0) + length}
+        swap = {"chunks": Change(leaving, new), "manifest": Change(leaving, made)}
+        return report, self.log.commit(swap, values, base, {"statistics": (merged_counts(signed), merged_counts)})
 
     def update_documents(self, pages: DataFrame, prune_deleted: bool = False) -> IndexReport:
         """Index pages (text, document, source_path, page, modified_at, sha256) whose file or configuration changed. A document without a chunk fails and keeps what it had."""
@@ -128,9 +173,20 @@ class ChunkIndex:
         make = lambda todo: web_chunks(extracted.join(todo, extracted.url == todo.key, "left_semi"), self.settings)
         return self._update("web", current, make, None, prune_deleted)
 
-    def corpus(self) -> DataFrame:
-        """The chunks in a fixed order, ready for retrieval; raises until a document is indexed."""
-        chunks = self.chunks.read()
-        if chunks is None or self.read_manifest().where("kind = 'pdf'").isEmpty():
+    def _ready(self, version: Version) -> DataFrame:
+        chunks = self.log.read("chunks", version)
+        if chunks is None or self.read_manifest(version).where("kind = 'pdf'").isEmpty():
             raise NotReady("no document is indexed")
-        return chunks.withColumn("ordinal", F.xxhash64("chunk_id"))
+        return chunks
+
+    def corpus(self, version: Version | None = None) -> DataFrame:
+        """The chunks with their ordinals, those of a later commit after those of an earlier one; raises until a document is indexed."""
+        return self._ready(version or self.log.version()).drop("tokens")
+
+    def lexical_index(self, version: Version | None = None) -> LexicalIndex:
+        """What `lexical.bm25` and `retrieval.retrieve` need of a version, from stored tokens and counts."""
+        version = version or self.log.version()
+        chunks, count = self._ready(version), version.values["count"]
+        df = F.col("df")
+        frequencies = merged_counts(self.log.read_pieces("statistics", version)).select("token", F.log(1 + (count - df + 0.5) / (df + 0.5)).alias("idf"))
+        return LexicalIndex(chunks.select("ordinal", "tokens"), frequencies, count, version.values["length"] / count if count else 0.0)

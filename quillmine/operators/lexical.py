@@ -23,8 +23,8 @@ from quillmine.sources.tables import persist
 K1, B = 1.5, 0.75
 #: Scores are ordered by this many digits, so that the order in which parts are added doesn't matter.
 DIGITS = 9
-#: Questions of a batch; its matrix has a column for each and a row for each of their tokens.
-QUESTIONS = 256
+#: Questions of a batch, about, and their tokens; its matrix has a column for each question and a row for each token.
+QUESTIONS, QUESTION_TOKENS = 256, 20_000
 #: Documents scored at once.
 DOCUMENTS = 256
 
@@ -71,13 +71,16 @@ def asked_tokens(questions: DataFrame, by: list[str], any_script: bool = True) -
 
 
 def _batches(asked: DataFrame, by: list[str]):
-    """Keys of the questions and their (question, token, qf, idf) as arrays, QUESTIONS at a time; asked: by, token, qf, idf."""
-    keys = persist(asked.select(*by).distinct().withColumn("__batch", F.floor((F.row_number().over(Window.orderBy(*by)) - 1) / QUESTIONS)), "asked-keys")
-    whole = persist(asked.join(keys, by), "asked")
-    for batch in range((keys.agg(F.max("__batch")).first()[0] or 0) + 1):
-        rows = whole.where(F.col("__batch") == batch).select(*by, "token", "qf", "idf").collect()
+    """Rows (by, token, qf, idf) of the questions, batch by batch; asked has these columns. Which batch a question is in follows from a hash of its key."""
+    asked = asked.select(*by, "token", "qf", "idf")
+    sizes = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    batches = max(-(-sizes[0] // QUESTIONS), -(-sizes[1] // QUESTION_TOKENS))
+    if batches > 1:
+        asked = persist(asked.withColumn("__batch", F.pmod(F.xxhash64(*by), F.lit(batches))), "asked")
+    for batch in range(batches):
+        rows = (asked if batches == 1 else asked.where(F.col("__batch") == batch)).collect()
         if rows:
-            yield rows
+            yield rows, batches
 
 
 def _matrix(rows, by: list[str]) -> dict:
@@ -116,9 +119,12 @@ def _scored(documents: DataFrame, asked: DataFrame, by: list[str], k: int, score
     spark, fields = documents.sparkSession, [asked.schema[b] for b in by]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", ordinal long, score double"
     out = None
-    for rows in _batches(asked, by):
+    for rows, batches in _batches(asked, by):
         shared = spark.sparkContext.broadcast(_matrix(rows, by))
         found = documents.select(F.col("ordinal").cast("long").alias("ordinal"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).mapInArrow(_best(shared, by, [to_arrow_type(f.dataType) for f in fields], k, score), schema)
+        if batches > 1:  # a batch's best rows are written before the next goes out
+            found = persist(found, "scored")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 

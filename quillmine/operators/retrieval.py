@@ -85,12 +85,12 @@ def target_documents(prepared: DataFrame, corpus: DataFrame) -> DataFrame:
     return named.withColumn("longest", F.max("size").over(Window.partitionBy("qid"))).where("size = longest").select("qid", "document").distinct()
 
 
-def keyword_backend(any_script: bool = True, documents: DataFrame | None = None) -> Backend:
-    """A model-free stand-in: the distance is one less the keyword overlap; rows without overlap are left out. Tokenized documents may be given."""
+def keyword_backend(any_script: bool = True, documents: DataFrame | None = None, most_k: int | None = None) -> Backend:
+    """A model-free stand-in: the distance is one less the keyword overlap; rows without overlap are left out. Tokenized documents, and the largest k that is asked for, may be given."""
 
     def search(asked: DataFrame, corpus: DataFrame) -> DataFrame:
         found = lexical.tokenized(corpus, any_script) if documents is None else documents
-        most = asked.agg(F.max("k")).first()[0] or 1
+        most = most_k or asked.agg(F.max("k")).first()[0] or 1
         scored = lexical.keyword_scores(found, asked, ["qid", "vno"], most, any_script)
         ranked = lexical.top(scored.join(asked.select("qid", "vno", "k"), ["qid", "vno"]), ["qid", "vno"], "k")
         return ranked.select("qid", "vno", "ordinal", (1 - F.col("score")).alias("distance"))
@@ -145,7 +145,7 @@ def vector_ranking(asked: DataFrame, corpus: DataFrame, backend: Backend, metric
 def lexical_ranking(prepared: DataFrame, asked: DataFrame, corpus: DataFrame, index: lexical.LexicalIndex, settings: Settings, any_script: bool = True) -> DataFrame:
     """The BM25 order of the first fetch_k chunks, with those below the keyword threshold left out and ranks closed up."""
     asked_tokens = asked.select("qid", F.explode(tokens(F.col("text"), any_script)).alias("token"))
-    most = prepared.agg(F.max("fetch_k")).first()[0] or 1
+    most = max(settings.fetch_k, settings.aggregate_fetch_k)
     first = lexical.top(lexical.bm25(index, asked_tokens, most).join(prepared.select("qid", "fetch_k"), "qid"), ["qid"], "fetch_k")
     first = persist(first.select("qid", "ordinal", F.col("rank").alias("place")), "lexical")
     overlap = lexical.pair_scores(first, index.documents, asked, ["qid", "vno"], any_script).groupBy("qid", "ordinal").agg(F.max("score").alias("overlap"))
@@ -163,8 +163,12 @@ def retrieve(
     catalogue: DataFrame | None = None,
     reranker: Callable[[Column, Column], Column] | None = None,
     any_script: bool = True,
+    index: lexical.LexicalIndex | None = None,
 ) -> DataFrame:
-    """Catalogue hits end a question's search; otherwise vector and lexical lists are fused, cut to eligible and targeted items, reranked if wanted, and de-duplicated (or spread over documents for questions that ask for a list)."""
+    """Catalogue hits end a question's search; otherwise vector and lexical lists are fused, cut to eligible and targeted items, reranked if wanted, and de-duplicated (or spread over documents for questions that ask for a list).
+
+    index: of the corpus, where there is one already (`ChunkIndex.lexical_index`).
+    """
     prepared = prepare(questions, settings, any_script)
     corpus = _with_metadata(corpus)
     hits = None
@@ -172,8 +176,9 @@ def retrieve(
         hits = catalogue_hits(prepared, catalogue, settings.top_k)
         prepared = prepared.join(hits.select("qid").distinct(), "qid", "left_anti")
     prepared, asked = persist(prepared, "questions"), persist(variants(prepared), "variants")
-    index = lexical.build_index(corpus, any_script) if settings.hybrid_search or backend is None else None
-    search = backend or keyword_backend(any_script, index.documents)
+    if index is None and (settings.hybrid_search or backend is None):
+        index = lexical.build_index(corpus, any_script)
+    search = backend or keyword_backend(any_script, index.documents, max(settings.fetch_k, settings.aggregate_fetch_k))
     by_vector = vector_ranking(asked, corpus, search, settings.distance_metric).join(prepared.select("qid", "fetch_k"), "qid")
     fetched = by_vector.where(F.col("rank") <= F.col("fetch_k")).withColumn("strong", F.col("score") >= settings.similarity_threshold)
     lists = fetched.select("qid", F.lit(1).alias("list"), "rank", *fusion.KEY, "payload", "strong")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmine.operators.lexical import top
+from quillmine.sources.tables import persist
 
 #: Queries travel to every task, so a batch must be small; more are searched batch by batch, one pass over the rows each.
 MOST_QUERY_BYTES = 64 << 20
@@ -51,13 +52,13 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
         return queries.sparkSession.createDataFrame([], f"{by} {kind}, ordinal long, distance double, rank int")
     # Half of the bound on the mean, as hashes don't fill batches evenly.
     parts = max(1, -(-total[0] * total[1] * 8 * 2 // MOST_QUERY_BYTES)) if total[0] * total[1] * 8 > MOST_QUERY_BYTES else 1
-    found = [_found(corpus, asked.where(F.pmod(F.xxhash64(by), F.lit(parts)) == part) if parts > 1 else asked, k, metric, by, kind) for part in range(parts)]
+    found = [_found(corpus, asked.where(F.pmod(F.xxhash64(by), F.lit(parts)) == part), k, metric, by, kind, True) for part in range(parts)] if parts > 1 else [_found(corpus, asked, k, metric, by, kind)]
     merged = reduce(DataFrame.unionByName, found)
     return top(merged.withColumn("score", -F.col("distance")), [by], k).drop("score")
 
 
-def _found(corpus: DataFrame, asked: DataFrame, k: int, metric: str, by: str, kind: str) -> DataFrame:
-    """Every task's own k nearest rows of each query of one batch."""
+def _found(corpus: DataFrame, asked: DataFrame, k: int, metric: str, by: str, kind: str, written: bool = False) -> DataFrame:
+    """Every task's own k nearest rows of each query of one batch. written: as a table, so that the batch's queries needn't be kept."""
     rows = asked.collect()
     if not rows:
         return asked.sparkSession.createDataFrame([], f"{by} {kind}, ordinal long, distance double")
@@ -89,4 +90,8 @@ def _found(corpus: DataFrame, asked: DataFrame, k: int, metric: str, by: str, ki
             n = best_d.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(best_o.reshape(-1)), pa.array(best_d.reshape(-1))], [by, "ordinal", "distance"])
 
-    return corpus.select("ordinal", "vector").mapInArrow(run, f"{by} {kind}, ordinal long, distance double")
+    found = corpus.select("ordinal", "vector").mapInArrow(run, f"{by} {kind}, ordinal long, distance double")
+    if written:
+        found = persist(found, "nearest")
+        shared.destroy()
+    return found
