@@ -226,12 +226,12 @@ select qid::bigint as qid, programme, options from named qualify row_number() ov
 context as (select qid, string_agg('证据 ' || rank || ' 【' || document || '，第 ' || page::int || ' 页】' || chr(10) || text, chr(10) || chr(10) order by rank) as context from found where rank <= 4 group by qid),
 asked as (
   select item_id as qid, text, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 2 * length(regexp_replace(text, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g')) as english,
-    case when regexp_matches(text, '(?i){fixed.LEARNING_PATTERN}') then {_text(answers.MODE_RULES[fixed.LEARNING_PLAN])} when regexp_matches(text, '(?i){fixed.COURSE_PATTERN}') then {_text(answers.MODE_RULES[fixed.COURSE_EXPLANATION])}
-      else {_text(answers.MODE_RULES[fixed.OFFICIAL_FACT])} end as task from benchmark
+    case when regexp_matches(text, '(?i){fixed.LEARNING_PATTERN}') then {_text(answers.MODE_RULES[fixed.LEARNING_PLAN] + answers.FORM_RULES[fixed.LEARNING_PLAN])} when regexp_matches(text, '(?i){fixed.COURSE_PATTERN}') then {_text(answers.MODE_RULES[fixed.COURSE_EXPLANATION] + answers.FORM_RULES[fixed.COURSE_EXPLANATION])}
+      else {_text(answers.MODE_RULES[fixed.OFFICIAL_FACT] + answers.FORM_RULES[fixed.OFFICIAL_FACT])} end as task, not regexp_matches(text, '(?i){fixed.LEARNING_PATTERN}|{fixed.COURSE_PATTERN}') as fact from benchmark
 ),
 p as (
-  select qid, concat_ws(chr(10), '任务：' || task, case when english then {_text(answers.LANGUAGE_RULES['en'])} else {_text(answers.LANGUAGE_RULES['zh'])} end, '重要事实之后原样附上证据标签；证据不全时说明目前能确认的部分；历史只用来理解问题。',
-    '拒答语：' || case when english then {_text(fixed.REFUSALS['en'])} else {_text(fixed.REFUSALS['zh'])} end, '证据：' || chr(10) || coalesce(context, ''), '问题：' || text) as prompt from asked left join context using (qid)
+  select qid, concat_ws(chr(10), '任务：' || task, case when english then {_text(answers.LANGUAGE_RULES['en'])} else {_text(answers.LANGUAGE_RULES['zh'])} end, {', '.join(map(_text, answers.COMMON_RULES))},
+    case when fact then '拒答语：' || case when english then {_text(fixed.REFUSALS['en'])} else {_text(fixed.REFUSALS['zh'])} end end, '证据：' || chr(10) || coalesce(context, ''), '问题：' || text) as prompt from asked left join context using (qid)
 )
 select qid, length(prompt) as chars, sha256(prompt) as sha256 from p""",
 }
