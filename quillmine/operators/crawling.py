@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmine.functions import fixed
-from quillmine.sources.tables import persist
+from quillmine.sources.commits import Change, CommitLog
+from quillmine.sources.tables import numbered, persist
 
 
 @dataclass(frozen=True)
@@ -96,3 +97,65 @@ def crawl(source: WebSource, pages: DataFrame, links: DataFrame) -> DataFrame:
         kept = level.where("outcome = 'kept'").select(F.col("url").alias("src"), F.col("place").alias("parent"))
         frontier = links.join(kept, "src").select(without_fragment(F.col("dst")).alias("url"), "parent", "pos")
     return visited
+
+
+SHORTEST_PAGE = 40
+VISITED = "url string, depth int, place long, outcome string"
+
+
+def outcome(allowed: Column, body_chars: Column) -> Column:
+    """What becomes of a visited address. allowed: by robots, null without an answer; body_chars: null for what isn't HTML."""
+    return F.when(allowed.isNull(), "failed").when(~allowed, "denied").when(body_chars.isNull(), "not_html").when(body_chars < SHORTEST_PAGE, "short").otherwise("kept")
+
+
+def html_chars(content_type: Column, chars: Column) -> Column:
+    """Characters of a page's body, null unless its content type is HTML."""
+    return F.when(F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("text/html")), chars)
+
+
+class CrawlLog:
+    """A breadth-first crawl of any size, level by level, each level one commit; a run that is cut short goes on with the level it was in.
+
+    Visited addresses (url, depth, place, outcome) lie in hash buckets. A level joins the links of the pages that the last one kept, drops what
+    was visited, and numbers the rest in the order of (place of the page, place of the link) by sorted ranges, so no task has a level. Only buckets with a new
+    address are written. Unlike `crawl` it has no bound on pages unless `most` is given.
+    """
+
+    def __init__(self, spark, path: str, source: WebSource, buckets: int = 64):
+        self.spark, self.source, self.log = spark, source, CommitLog(spark, path, {"visited": ["url"]}, buckets)
+
+    def visited(self) -> DataFrame:
+        found = self.log.read("visited")
+        return self.spark.createDataFrame([], VISITED) if found is None else found
+
+    def run(self, start: DataFrame, pages: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
+        """Visit start (url, pos) and what is linked, to the source's depth. pages: url, allowed, body_chars; links: src, pos, dst. Returns all visited."""
+        while self.step(start, pages, links, most):
+            pass
+        return self.visited()
+
+    def step(self, start: DataFrame, pages: DataFrame, links: DataFrame, most: int | None = None) -> bool:
+        """One level; whether there is another."""
+        base = self.log.version()
+        depth, count = base.values.get("depth", 0), base.values.get("count", 0)
+        if base.values.get("done"):
+            return False
+        before = self.log.read("visited", base)
+        if depth == 0 or before is None:
+            frontier = start.select(without_fragment(F.col("url")).alias("url"), F.lit(0).cast("long").alias("parent"), F.col("pos").cast("long").alias("pos"))
+        else:
+            kept = before.where((F.col("depth") == depth - 1) & (F.col("outcome") == "kept")).select(F.col("url").alias("src"), F.col("place").alias("parent"))
+            frontier = links.join(kept, "src").select(without_fragment(F.col("dst")).alias("url"), "parent", F.col("pos").cast("long").alias("pos"))
+        fresh = frontier.where(is_allowed(F.col("url"), self.source)).groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("first"))
+        if before is not None:
+            fresh = fresh.join(before.select("url"), "url", "left_anti")
+        # Places are numbers of all visited ones from 1, as `crawl` gives them.
+        placed = numbered(fresh, [F.col("first"), F.col("url")], count + 1, "crawl-level").withColumnRenamed("ordinal", "place")
+        if most is not None:
+            placed = placed.where(F.col("place") <= most)
+        seen = placed.join(pages.select("url", "allowed", "body_chars").dropDuplicates(["url"]), "url", "left")
+        level = persist(seen.select("url", F.lit(depth).alias("depth"), "place", outcome(F.col("allowed"), F.col("body_chars")).alias("outcome")), "crawl-visits")
+        new = level.count()
+        done = not new or depth >= self.source.max_depth or (most is not None and count + new >= most)
+        self.log.commit({"visited": Change(added=level)} if new else {}, {"depth": depth + 1, "count": count + new, "done": done}, base)
+        return not done

@@ -6,13 +6,15 @@ kept as they are known; both are taken over all results that a question gets.
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillmine.functions.config import Settings
 from quillmine.operators.retrieval import Backend, retrieve
+from quillmine.sources.tables import persist
 
 
 def metrics(cases: DataFrame, results: DataFrame) -> DataFrame:
@@ -35,6 +37,17 @@ def metrics(cases: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumns({"retrieval_hit_rate": F.col("recall_at_5"), "citation_accuracy": F.col("page_hit_rate")})
 
 
+def timed(results: DataFrame, cases: DataFrame, started: float) -> tuple[DataFrame, float]:
+    """The results, written, and the mean time of a case in milliseconds since `started`. Cases are counted as they run, not in a pass of their own."""
+    seen = Observation()
+    counted = cases.select("qid").observe(seen, F.count(F.lit(1)).alias("n"))
+    # Cases without a result keep a row, so that the write runs through all of them.
+    held = persist(counted.join(results, "qid", "left"), "results")
+    return held.where("rank is not null"), (time.perf_counter() - started) * 1000 / seen.get["n"] if seen.get["n"] else 0.0
+
+
 def evaluate(cases: DataFrame, corpus: DataFrame, threshold: float = 0.35, backend: Backend | None = None) -> DataFrame:
-    settings = replace(Settings(), similarity_threshold=threshold)
-    return metrics(cases, retrieve(cases.select("qid", F.col("question").alias("text")), corpus, settings, backend))
+    """`metrics` of the retrieval for the cases, and average_response_time_ms: all cases run at once, so it is the run's time by their number, 0 without a case."""
+    settings, started = replace(Settings(), similarity_threshold=threshold), time.perf_counter()
+    found, mean = timed(retrieve(cases.select("qid", F.col("question").alias("text")), corpus, settings, backend), cases, started)
+    return metrics(cases, found).withColumn("average_response_time_ms", F.lit(mean))

@@ -114,6 +114,31 @@ with recursive step as (
 ),
 pieces as (select doc_id, n, trim(substr(text, start + 1, stop - start), ' ' || chr(10)) as piece from step where n > 0)
 select doc_id, row_number() over (partition by doc_id order by n) as chunk_index, length(piece) as chars, sha256(piece) as sha256 from pieces where piece <> ''""",
+    "chunk_pages": """
+with recursive docs as (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents),
+cut as (select doc_id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) as p, generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) as pos from docs),
+pars as (select doc_id, trim(p, ' ' || chr(10)) as p, row_number() over (partition by doc_id order by pos) as i from cut where trim(p, ' ' || chr(10)) <> ''),
+walk as (
+  select doc_id, i, p, 1 as grp, case when length(p) > 1000 then 0 else length(p) end as held from pars where i = 1
+  union all
+  select n.doc_id, n.i, n.p, w.grp + case when w.held > 0 and w.held + 2 + length(n.p) <= 1000 then 0 else 1 end,
+    case when w.held > 0 and w.held + 2 + length(n.p) <= 1000 then w.held + 2 + length(n.p) when length(n.p) > 1000 then 0 else length(n.p) end
+  from walk w join pars n on n.doc_id = w.doc_id and n.i = w.i + 1
+),
+groups as (select doc_id, grp, string_agg(p, chr(10) || chr(10) order by i) as text, max(length(p)) > 1000 as big from walk group by doc_id, grp),
+step as (
+  select doc_id, grp, text, 0 as start, 0 as stop, 0 as n from groups where big
+  union all
+  select doc_id, grp, text, next, next + case when next + 1000 < length(text) and cut > 500 then cut + 1 else least(1000, length(text) - next) end, n + 1 from (
+    select *, coalesce((select max(p) from (values (1000 - strpos(reverse(window_text), ' ')), (1000 - strpos(reverse(window_text), chr(10))), (1000 - strpos(reverse(window_text), '。'))) as v(p) where p < 1000), -1) as cut from (
+      select *, substr(text, next + 1, 1000) as window_text from (
+        select doc_id, grp, text, n, stop, case when n = 0 then 0 else greatest(start + 1, stop - 150) end as next from step where n = 0 or stop < length(text))))
+),
+pieces as (
+  select doc_id, grp, n, trim(substr(text, start + 1, stop - start), ' ' || chr(10)) as piece from step where n > 0
+  union all select doc_id, grp, 0, text from groups where not big
+)
+select doc_id, row_number() over (partition by doc_id order by grp, n) as chunk_index, length(piece) as chars, sha256(piece) as sha256 from pieces where piece <> ''""",
     "chunk_ids": "select doc_id, sha256(sha256(text) || ':1:' || doc_id || ':' || text) as chunk_id from documents",
     "contact_fields": f"""
 select e.doc_id, emails, phones from

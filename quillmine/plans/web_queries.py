@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from quillmine.functions import fixed
 from quillmine.operators import crawling, html, records, rules
 from quillmine.plans.common import table, values
+from quillmine.plans.text_queries import _EMAIL
+from quillmine.sources.tables import shared_folder
 
 SOURCE = crawling.WebSource("site", ("https://example.org/",), ("example.org", "example.net"), ("/en/", "/de/"))
 
@@ -37,6 +42,19 @@ def link_counts(spark, sf_dir):
     return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+CRAWLED = crawling.WebSource("site", (), ("example.org", "example.net"), max_depth=2)
+
+
+def crawl_pages(spark, sf_dir):
+    """A crawl that starts from all pages under two domains and follows their links; a body is what stands outside tags."""
+    pages = table(spark, sf_dir, "pages").withColumn("url", crawling.without_fragment(F.col("url")))
+    first = pages.groupBy("url").agg(F.min("page_id").alias("pos"), F.min_by("html", "page_id").alias("html"))
+    known = first.select("url", F.lit(True).alias("allowed"), F.length(F.regexp_replace("html", "<[^>]*>", "")).alias("body_chars"))
+    path = f"{shared_folder(spark)}/quillmine/crawl-{uuid.uuid4().hex}"
+    found = crawling.CrawlLog(spark, path, CRAWLED).run(first.select("url", "pos"), known, html.page_links(first.select("url", "html")))
+    return found.select("url", F.col("depth").cast("long").alias("depth"), "place", "outcome")
+
+
 _HEAD = "Course Code   Course Title   Units   Grade   Percentage"
 TRANSCRIPT = [
     ("s1", 1, f"Programme: Data Science\nAdmitted in: September 2023\n2023-24 Term 1\n{_HEAD}\nMAT 1001  Calculus I  3  A-  88\nCSC1001 Introduction to Computer  3 B+ 81\n      Science: Programming\nENG1001 Broken row 3\nUnits Passed = 6"),
@@ -76,8 +94,74 @@ cut as (
 told as (
   select *, last_value(stated ignore nulls) over (partition by key order by page, pos) as term, case when lead(line) over w like '  %' then trim(lead(line) over w) end as more from cut window w as (partition by key, page order by pos)
 )"""
-QUERIES = {f.__name__: f for f in (html_sections, html_chunks, url_allowlist, page_links, link_counts, transcript_courses, transcript_records, requirement_report)}
+QUERIES = {f.__name__: f for f in (html_sections, html_chunks, crawl_pages, url_allowlist, page_links, link_counts, transcript_courses, transcript_records, requirement_report)}
+def _normal(text: str) -> str:
+    """A text with white space as functions.text.normalized has it; course codes don't occur split in the pages."""
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+def _plain(text: str) -> str:
+    """A text node: without tags, entities resolved, stripped."""
+    return f"trim(replace(replace(regexp_replace({text}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), ' ' || chr(10))"
+
+
+def _json(text: str) -> str:
+    return f"'\"' || replace(replace(replace({text}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\"'"
+
+
+def _distinct(found: str) -> str:
+    """The first twenty different values in order of appearance."""
+    return f"list_transform(list_filter(list_zip({found}, range(1, len({found}) + 1)), lambda p: list_position({found}, p[1]) = p[2]), lambda p: p[1])[1:20]"
+
+
+#: An article has one heading and paragraphs; a paragraph that opens in bold is never closed, so it holds all text after it too.
+_SECTIONS = f"""
+raw as (select page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as head, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as article from pages),
+cut as (select page_id, url, {_plain('head')} as head, {_normal(_plain("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)"))} as h1, regexp_extract_all(regexp_replace(article, '(?s)^.*?</h1>', ''), '(?s)<p>.*?(?:<br>|</p>)') as blocks from raw),
+line as (select page_id, unnest(blocks) as block, generate_subscripts(blocks, 1) as i from cut),
+said as (select page_id, i, starts_with(block, '<p><b>') as holds, {_plain('block')} as own, string_agg(nullif({_plain('block')}, ''), ' ') over (partition by page_id order by i rows between current row and unbounded following) as rest from line),
+told as (select page_id, i, {_normal("case when holds then coalesce(rest, '') else own end")} as text from said),
+body as (select page_id, {_normal("string_agg(text, chr(10) order by i)")} as body from told where text <> '' group by page_id),
+page as (select page_id, url, {_normal("coalesce(nullif(head, ''), 'site')")} as title, coalesce(nullif(h1, ''), {_normal("coalesce(nullif(head, ''), 'site')")}) as heading, body from cut left join body using (page_id)),
+found as (select *, regexp_extract_all(body, '{_EMAIL}', 1) as mails, list_transform(regexp_extract_all(body, '{fixed.FIELD_PATTERNS["phones"]}'), lambda v: trim(v)) as calls from page),
+kept as (select *, coalesce({_distinct('mails')}, []) as emails, coalesce({_distinct('calls')}, []) as phones from found)"""
+_ALLOWED = "regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '(^|[.])example[.](org|net)$') and starts_with(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') and not regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '[.](jpg|jpeg|png|gif|svg|zip|doc|docx|xls|xlsx|pdf)$')"
+_FIELDS = ", ".join(f"case when len({k}) > 0 then '\"{k}\": [' || array_to_string(list_transform({k}, lambda v: {_json('v')}), ', ') || ']' end" for k in ("emails", "phones"))
+_KNOWN = ", ".join(f"case when len({k}) > 0 then '{fixed.FIELD_LABELS[k]}：' || array_to_string({k}, '；') end" for k in ("emails", "phones"))
 SQL = {
+    "html_sections": f"""with {_SECTIONS},
+hashed as (
+  select *, sha256('{{"fields": {{' || concat_ws(', ', {_FIELDS}) || '}}, "sections": ' || coalesce('[[' || {_json('heading')} || ', ' || {_json('body')} || ']]', '[]') || ', "title": ' || {_json('title')} || '}}') as content_hash from kept
+)
+select url, title, content_hash, 0::bigint as at, heading, length(body) as chars from hashed where body is not null""",
+    "html_chunks": f"""with recursive {_SECTIONS},
+evidence as (
+  select page_id, url, heading, '页面：' || title || chr(10) || '章节：' || heading || chr(10) || body || case when len(emails) + len(phones) > 0 then chr(10) || chr(10) || '已识别信息：' || chr(10) || concat_ws(chr(10), {_KNOWN}) else '' end as text
+  from kept where length(body) >= 40
+),
+step as (
+  select page_id, text, 0 as start, 0 as stop, 0 as n from evidence
+  union all
+  select page_id, text, next, next + case when next + 1000 < length(text) and cut > 500 then cut + 1 else least(1000, length(text) - next) end, n + 1 from (
+    select *, coalesce((select max(p) from (values (1000 - strpos(reverse(window_text), ' ')), (1000 - strpos(reverse(window_text), chr(10))), (1000 - strpos(reverse(window_text), '。'))) as v(p) where p < 1000), -1) as cut from (
+      select *, substr(text, next + 1, 1000) as window_text from (
+        select page_id, text, n, stop, case when n = 0 then 0 else greatest(start + 1, stop - 150) end as next from step where n = 0 or stop < length(text))))
+),
+pieces as (select page_id, n, trim(substr(text, start + 1, stop - start), ' ' || chr(10)) as piece from step where n > 0)
+select url as source_url, row_number() over (partition by page_id order by n) as chunk_index, heading as section, sha256(piece) as sha256 from pieces join evidence using (page_id) where piece <> ''""",
+    "crawl_pages": f"""
+with recursive p as (select split_part(url, '#', 1) as url, min(page_id) as pos, min_by(html, page_id) as html from pages group by 1),
+known as (select url, length(regexp_replace(html, '<[^>]*>', '', 'g')) >= 40 as good from p),
+anchors as (select url as src, regexp_extract(url, '^[a-z]+://[^/?#]*') as site, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) as href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) as pos from p),
+links as (select src, split_part(site || href, '#', 1) as url, pos from anchors),
+visits as (
+  select 0 as depth, url, row_number() over (order by pos, url) as place, case when good then 'kept' else 'short' end as outcome from p join known using (url) where {_ALLOWED}
+  union all
+  select depth, url, (select max(place) from visits) + row_number() over (order by parent, pos, url), outcome from (
+    select depth + 1 as depth, l.url, min(v.place) as parent, min_by(l.pos, v.place * 1000000 + l.pos) as pos, any_value(case when k.good then 'kept' when k.url is null then 'failed' else 'short' end) as outcome
+    from visits v join links l on l.src = v.url left join known k on k.url = l.url where v.outcome = 'kept' and depth < 2 and l.url not in (select url from p where {_ALLOWED}) and {_ALLOWED.replace('(url,', '(l.url,')} group by depth, l.url)
+)
+select url, depth, place, outcome from visits""",
     "url_allowlist": """
 select page_id, address, host, (host = 'example.org' or ends_with(host, '.example.org') or host = 'example.net' or ends_with(host, '.example.net')) and (starts_with(path, '/en/') or starts_with(path, '/de/'))
   and not regexp_matches(lower(path), '[.](jpg|jpeg|png|gif|svg|zip|doc|docx|xls|xlsx|pdf)$') as allowed from (

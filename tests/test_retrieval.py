@@ -175,6 +175,7 @@ def test_evaluate(spark):
         "qid long, question string, relevant_document string, relevant_pages array<int>, should_refuse boolean",
     )
     got = evaluation.evaluate(cases, corpus(spark)).first().asDict()
+    assert got.pop("average_response_time_ms") > 0
     assert got == dict.fromkeys(("recall_at_5", "mrr_at_10", "page_hit_rate", "refusal_accuracy", "retrieval_hit_rate", "citation_accuracy"), 1.0)
 
 
