@@ -8,7 +8,7 @@ from quillmine.functions import fixed
 from quillmine.functions.config import Settings
 from quillmine.operators import answers, evaluation, fusion, lexical, vectors, versions
 from quillmine.operators.retrieval import retrieve
-from quillmine.plans.common import corpus, literal as _text, questions, table, values
+from quillmine.plans.common import corpus, dealt_cases, dealt_values, literal as _text, questions, table
 
 K = 10
 
@@ -116,19 +116,20 @@ _VERSIONS = [(1, 1, "金融学_适用于2022至23年度入学学生.pdf"), (1, 2
 _ASKED = [(1, "How many credits does finance need"), (2, "统计学要多少学分"), (3, "2023级金融学要多少学分")]
 
 
-def _version_tables(spark):
-    asked = spark.createDataFrame(_ASKED, "qid long, text string")
-    return asked, spark.createDataFrame(_VERSIONS, "qid long, rank int, document string")
+def _version_tables(spark, sf_dir):
+    """The cases dealt over the documents."""
+    asked = dealt_cases(spark, sf_dir, _ASKED, "qid long, text string", "qid")
+    return asked, dealt_cases(spark, sf_dir, _VERSIONS, "qid long, rank int, document string", "qid")
 
 
 def version_scope(spark, sf_dir):
-    asked, evidence = _version_tables(spark)
+    asked, evidence = _version_tables(spark, sf_dir)
     _, scopes = versions.answer_scope(asked, evidence)
     return scopes.select("qid", "document", F.array_join("options", "|").alias("options"))
 
 
 def version_clarification(spark, sf_dir):
-    asked, evidence = _version_tables(spark)
+    asked, evidence = _version_tables(spark, sf_dir)
     return versions.clarifications(asked, evidence).select("qid", "programme", F.array_join("options", "|").alias("options"))
 
 
@@ -185,10 +186,10 @@ _DISTANCE = {
 _RELEVANCE = {"cosine": "1 - greatest(0, d)", "ip": "1 - greatest(0, d)", "l2": "1 / (1 + greatest(0, d))"}
 #: The cases of versions, with the programme and the label that a document's name has.
 _VERSIONED = f"""
-q as (select qid, text, regexp_matches(text, '(?i)20\\d{{2}}\\s*(级|年|entry)|\\d{{2}}\\s*(至|-)\\s*\\d{{2}}') as names_year, regexp_matches(text, '[A-Za-z]') as english from {values(_ASKED, 'qid, text')}),
+q as (select qid, text, regexp_matches(text, '(?i)20\\d{{2}}\\s*(级|年|entry)|\\d{{2}}\\s*(至|-)\\s*\\d{{2}}') as names_year, regexp_matches(text, '[A-Za-z]') as english from {dealt_values(_ASKED, 'qid, text', 'qid')}),
 e as (
   select qid, rank, document, names_year, english, document like '%适用于%.pdf' as versioned, split_part(document, '_适用于', 1) as programme, replace(split_part(document, '_适用于', 2), '.pdf', '') as label
-  from {values(_VERSIONS, 'qid, rank, document')} join q using (qid)
+  from {dealt_values(_VERSIONS, 'qid, rank, document', 'qid')} join q using (qid)
 )"""
 _OPTION = "case when english then 'For ' || replace(replace(replace(label, '至', '–'), '年度及以后入学学生', ' academic year and later entrants'), '年度入学学生', ' academic year entrants') else '适用于' || label end"
 SQL = {

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from quillmine.functions import fixed
 from quillmine.operators import crawling, html, records, rules
-from quillmine.plans.common import table, values
+from quillmine.plans.common import dealt_cases, dealt_values, table, values
 from quillmine.plans.text_queries import _EMAIL
 from quillmine.sources.tables import shared_folder
 
@@ -45,14 +46,29 @@ def link_counts(spark, sf_dir):
 CRAWLED = crawling.WebSource("site", (), ("example.org", "example.net"), max_depth=2)
 
 
-def crawl_pages(spark, sf_dir):
-    """A crawl that starts from all pages under two domains and follows their links; a body is what stands outside tags."""
+def _site(spark, sf_dir):
+    """Addresses of all pages with the first page of each, what a crawl knows of them, and their links; a body is what stands outside tags."""
     pages = table(spark, sf_dir, "pages").withColumn("url", crawling.without_fragment(F.col("url")))
     first = pages.groupBy("url").agg(F.min("page_id").alias("pos"), F.min_by("html", "page_id").alias("html"))
     known = first.select("url", F.lit(True).alias("allowed"), F.length(F.regexp_replace("html", "<[^>]*>", "")).alias("body_chars"))
+    return first.select("url", "pos"), known, html.page_links(first.select("url", "html"))
+
+
+def _visits(found):
+    return found.select("url", F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"), "outcome")
+
+
+def crawl_pages(spark, sf_dir):
+    """A crawl that starts from all pages under two domains and follows their links."""
     path = f"{shared_folder(spark)}/quillmine/crawl-{uuid.uuid4().hex}"
-    found = crawling.CrawlLog(spark, path, CRAWLED).run(first.select("url", "pos"), known, html.page_links(first.select("url", "html")))
-    return found.select("url", F.col("depth").cast("long").alias("depth"), "place", "outcome")
+    return _visits(crawling.CrawlLog(spark, path, CRAWLED).run(*_site(spark, sf_dir)))
+
+
+def crawl_visits(spark, sf_dir):
+    """The same as a crawl of at most fifty pages, which can start from no more than fifty."""
+    start, known, links = _site(spark, sf_dir)
+    urls = start.where(crawling.is_allowed(F.col("url"), CRAWLED)).orderBy("pos", "url").limit(CRAWLED.max_pages).collect()
+    return _visits(crawling.crawl(replace(CRAWLED, start_urls=tuple(r.url for r in urls)), known, links))
 
 
 _HEAD = "Course Code   Course Title   Units   Grade   Percentage"
@@ -64,29 +80,30 @@ TRANSCRIPT = [
 RULES = [("Data Science", ["DS"], 2020, 2025, 9.0, [("core", "Core", "all_of", 6.0, None, ["MAT1001", "STA2001"]), ("sci", None, "one_of", 3.0, None, ["PHY1001", "CHM1001"]), ("el", "Electives", "choose_n", 6.0, 2, ["CSC1001", "CSC1002", "CSC1003"])], ["check residence"])]
 
 
-def _transcripts(spark):
-    return records.parse_transcripts(spark.createDataFrame(TRANSCRIPT, "key string, page int, text string"))
+def _transcripts(spark, sf_dir):
+    """The transcripts dealt over the documents."""
+    return records.parse_transcripts(dealt_cases(spark, sf_dir, TRANSCRIPT, "key string, page int, text string", "key"))
 
 
 def transcript_courses(spark, sf_dir):
-    courses, _ = _transcripts(spark)
+    courses, _ = _transcripts(spark, sf_dir)
     return courses.select("key", F.col("ordinal").cast("long").alias("ordinal"), "course_code", "course_name", "credits", "grade", "term", "status")
 
 
 def transcript_records(spark, sf_dir):
-    _, found = _transcripts(spark)
+    _, found = _transcripts(spark, sf_dir)
     return found.select("key", "programme", F.col("admission_year").cast("long").alias("admission_year"), "total_credits_reported", F.size("warnings").cast("long").alias("n_warnings"))
 
 
 def requirement_report(spark, sf_dir):
-    courses, found = _transcripts(spark)
+    courses, found = _transcripts(spark, sf_dir)
     report, _ = rules.check_requirements(courses, rules.rules_for(found, spark.createDataFrame(RULES, rules.RULES_SCHEMA)))
     return report.select("key", "overall_status", "earned", "required", "remaining", F.array_join("missing_required_courses", ",").alias("missing"))
 
 
 #: Lines of the transcripts: a course's code and row, the term it stands under, and the rest of a title on an indented line after it.
 _LINES = f"""
-raw as (select key, page, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line from {values(TRANSCRIPT, 'key, page, text')}),
+raw as (select key, page, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line from {dealt_values(TRANSCRIPT, 'key, page, text', 'key')}),
 cut as (
   select *, replace(regexp_extract(line, '^[A-Z]{{2,4}} ?\\d{{4}}'), ' ', '') as code, regexp_extract(line, '^[A-Z]{{2,4}} ?\\d{{4}}\\s+(.+?)\\s+(\\d+)\\s+([A-Z]+[+-]?)\\s+\\S+$', ['title', 'units', 'grade']) as parsed,
     nullif(regexp_extract(replace(line, '–', '-'), '^\\d{{4}}-\\d{{2}} Term \\d$'), '') as stated from raw
@@ -94,7 +111,7 @@ cut as (
 told as (
   select *, last_value(stated ignore nulls) over (partition by key order by page, pos) as term, case when lead(line) over w like '  %' then trim(lead(line) over w) end as more from cut window w as (partition by key, page order by pos)
 )"""
-QUERIES = {f.__name__: f for f in (html_sections, html_chunks, crawl_pages, url_allowlist, page_links, link_counts, transcript_courses, transcript_records, requirement_report)}
+QUERIES = {f.__name__: f for f in (html_sections, html_chunks, crawl_pages, crawl_visits, url_allowlist, page_links, link_counts, transcript_courses, transcript_records, requirement_report)}
 def _normal(text: str) -> str:
     """A text with white space as functions.text.normalized has it; course codes don't occur split in the pages."""
     return f"trim(regexp_replace(regexp_replace(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
@@ -128,6 +145,19 @@ kept as (select *, coalesce({_distinct('mails')}, []) as emails, coalesce({_dist
 _ALLOWED = "regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '(^|[.])example[.](org|net)$') and starts_with(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') and not regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '[.](jpg|jpeg|png|gif|svg|zip|doc|docx|xls|xlsx|pdf)$')"
 _FIELDS = ", ".join(f"case when len({k}) > 0 then '\"{k}\": [' || array_to_string(list_transform({k}, lambda v: {_json('v')}), ', ') || ']' end" for k in ("emails", "phones"))
 _KNOWN = ", ".join(f"case when len({k}) > 0 then '{fixed.FIELD_LABELS[k]}：' || array_to_string({k}, '；') end" for k in ("emails", "phones"))
+_CRAWL = f"""
+with recursive p as (select split_part(url, '#', 1) as url, min(page_id) as pos, min_by(html, page_id) as html from pages group by 1),
+known as (select url, length(regexp_replace(html, '<[^>]*>', '', 'g')) >= 40 as good from p),
+anchors as (select url as src, regexp_extract(url, '^[a-z]+://[^/?#]*') as site, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) as href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) as pos from p),
+links as (select src, split_part(site || href, '#', 1) as url, pos from anchors),
+visits as (
+  select 0 as depth, url, row_number() over (order by pos, url) as place, case when good then 'kept' else 'short' end as outcome from p join known using (url) where {_ALLOWED}
+  union all
+  select depth, url, (select max(place) from visits) + row_number() over (order by parent, pos, url), outcome from (
+    select depth + 1 as depth, l.url, min(v.place) as parent, min_by(l.pos, v.place * 1000000 + l.pos) as pos, any_value(case when k.good then 'kept' when k.url is null then 'failed' else 'short' end) as outcome
+    from visits v join links l on l.src = v.url left join known k on k.url = l.url where v.outcome = 'kept' and depth < 2 and l.url not in (select url from p where {_ALLOWED}) and {_ALLOWED.replace('(url,', '(l.url,')} group by depth, l.url)
+)
+select url, depth, place, outcome from visits"""
 SQL = {
     "html_sections": f"""with {_SECTIONS},
 hashed as (
@@ -149,19 +179,8 @@ step as (
 ),
 pieces as (select page_id, n, trim(substr(text, start + 1, stop - start), ' ' || chr(10)) as piece from step where n > 0)
 select url as source_url, row_number() over (partition by page_id order by n) as chunk_index, heading as section, sha256(piece) as sha256 from pieces join evidence using (page_id) where piece <> ''""",
-    "crawl_pages": f"""
-with recursive p as (select split_part(url, '#', 1) as url, min(page_id) as pos, min_by(html, page_id) as html from pages group by 1),
-known as (select url, length(regexp_replace(html, '<[^>]*>', '', 'g')) >= 40 as good from p),
-anchors as (select url as src, regexp_extract(url, '^[a-z]+://[^/?#]*') as site, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) as href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) as pos from p),
-links as (select src, split_part(site || href, '#', 1) as url, pos from anchors),
-visits as (
-  select 0 as depth, url, row_number() over (order by pos, url) as place, case when good then 'kept' else 'short' end as outcome from p join known using (url) where {_ALLOWED}
-  union all
-  select depth, url, (select max(place) from visits) + row_number() over (order by parent, pos, url), outcome from (
-    select depth + 1 as depth, l.url, min(v.place) as parent, min_by(l.pos, v.place * 1000000 + l.pos) as pos, any_value(case when k.good then 'kept' when k.url is null then 'failed' else 'short' end) as outcome
-    from visits v join links l on l.src = v.url left join known k on k.url = l.url where v.outcome = 'kept' and depth < 2 and l.url not in (select url from p where {_ALLOWED}) and {_ALLOWED.replace('(url,', '(l.url,')} group by depth, l.url)
-)
-select url, depth, place, outcome from visits""",
+    "crawl_pages": _CRAWL,
+    "crawl_visits": f"{_CRAWL} where place <= {CRAWLED.max_pages}",
     "url_allowlist": """
 select page_id, address, host, (host = 'example.org' or ends_with(host, '.example.org') or host = 'example.net' or ends_with(host, '.example.net')) and (starts_with(path, '/en/') or starts_with(path, '/de/'))
   and not regexp_matches(lower(path), '[.](jpg|jpeg|png|gif|svg|zip|doc|docx|xls|xlsx|pdf)$') as allowed from (
@@ -176,7 +195,7 @@ select key, row_number() over (partition by key order by page, pos) as ordinal,
   case parsed.grade when 'IP' then 'in_progress' when 'F' then 'failed' else 'passed' end as status from told where parsed.title <> ''""",
     "transcript_records": f"""
 with {_LINES},
-p as (select * from {values(TRANSCRIPT, 'key, page, text')})
+p as (select * from {dealt_values(TRANSCRIPT, 'key, page, text', 'key')})
 select key, max(nullif(regexp_extract(text, 'Programme: (.+)', 1), '')) as programme, max(try_cast(regexp_extract(text, 'Admitted in: \\w+ (\\d{{4}})', 1) as bigint)) as admission_year,
   max(try_cast(regexp_extract(text, 'Cumulative Units Passed = ([0-9.]+)', 1) as double)) as total_credits_reported,
   (select count(*) from told t where t.key = p.key and code <> '' and parsed.title = '') + count(*) filter (trim(text) = '') + (not exists (select 1 from told t where t.key = p.key and parsed.title <> ''))::int as n_warnings
@@ -185,10 +204,11 @@ from p group by key""",
 with {_LINES},
 taken as (select key, code, try_cast(parsed.units as double) as credits, parsed.grade not in ('IP', 'F') as passed, parsed.grade = 'IP' as waiting from told where parsed.title <> ''),
 wanted as (select id, type, least, unnest(courses) as code, generate_subscripts(courses, 1) as pos from {values([(g[0], g[2], g[4], g[5]) for g in RULES[0][5]], 'id, type, least, courses')}),
-state as (select w.*, coalesce(passed, false) as done, coalesce(waiting, false) as now from wanted w left join taken t using (code)),
-counted as (select *, count(*) filter (done) over (partition by id) as n, row_number() over (partition by id, done or now order by pos) as place from state),
-missing as (select distinct code from counted where not done and not now and (type = 'all_of' or (type = 'one_of' and n = 0) or (type = 'choose_n' and place <= least - n))),
+state as (select k.key, w.*, coalesce(passed, false) as done, coalesce(waiting, false) as now from (select distinct key from taken) k, wanted w left join taken t on t.key = k.key and t.code = w.code),
+counted as (select *, count(*) filter (done) over (partition by key, id) as n, row_number() over (partition by key, id, done or now order by pos) as place from state),
+missing as (select distinct key, code from counted where not done and not now and (type = 'all_of' or (type = 'one_of' and n = 0) or (type = 'choose_n' and place <= least - n))),
+listed as (select key, string_agg(code, ',' order by code) as missing from missing group by key),
 sums as (select key, sum(credits) filter (passed) as earned, {RULES[0][4]}::double as required from taken group by key)
-select key, case when earned >= required and not exists (select 1 from missing) then 'satisfied_for_computable_rules' else 'partially_satisfied' end as overall_status, earned, required, greatest(0, required - earned) as remaining,
-  (select string_agg(code, ',' order by code) from missing) as missing from sums""",
+select key, case when earned >= required and missing is null then 'satisfied_for_computable_rules' else 'partially_satisfied' end as overall_status, earned, required, greatest(0, required - earned) as remaining,
+  coalesce(missing, '') as missing from sums left join listed using (key)""",
 }
