@@ -3,8 +3,8 @@
 Texts are cut into clauses, each clause is normalised (case, punctuation, years and white space), and a word tree
 maps normalised sentences, which may span any number of clauses, to identifiers. The identifiers of a document, in order, are then matched
 against ordered licence rules: a rule is a sequence of identifiers in which up to `gap` unknown sentences
-may stand between two of them. Rules are tried in order at each place, so the longer comes before its
-part; matched sentences are used up.
+may stand between two of them, and sentences of IGNORED too. Rules are tried in order at each place, so the longer comes before its
+part; matched sentences are used up. An SPDX expression (AND, OR, WITH, brackets) gives a notice for each licence that it names.
 
 The knowledge base has titles, notices and tags of the licences in LICENCES, made by the patterns in NOTICES, and
 the sentences of the full texts and file headers in SENTENCES. Both are parameters of Scanner; a licence that is not in them is not found.
@@ -108,6 +108,8 @@ RULES = [
     ("GPL-2.0-or-later", ("gpl-redistribute-2",)),
     ("GPL-3.0-only", ("gpl-3.0-notice",)),
     ("GPL-2.0-only", ("gpl-2.0-notice",)),
+    ("BSD-3-Clause", ("notice-BSD-3-Clause", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("notice-BSD-2-Clause", "bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-notice",)),
@@ -156,6 +158,8 @@ NOTICES = (
     "The code is licensed under the {}", "SPDX-License-Identifier: {}",
 )
 GAP = 2
+#: Sentences that may stand inside a rule: a copyright line often ends in them.
+IGNORED = ("rights-reserved",)
 
 
 def notices() -> tuple[list[tuple[str, str]], list[tuple[str, tuple[str, ...]]]]:
@@ -173,6 +177,9 @@ _FIRST = re.compile(r"\W*([A-Za-z0-9.+]+)")
 _FULL_STOP = re.compile(r"[.!?]\s*\Z")
 _NOISE = re.compile(r"[^a-z0-9.+]+")
 _YEARS = re.compile(r"\b(?:19|20)\d\d\b")
+#: A line with an SPDX expression of more than one part.
+_EXPRESSION = re.compile(r"\W*SPDX-License-Identifier:[ \t]*([^\n]*\b(?:AND|OR|WITH)\b[^\n]*)", re.IGNORECASE)
+_OPERATORS = ("and", "or")
 
 
 def normalised(sentence: str) -> str:
@@ -205,6 +212,7 @@ class Scanner:
             for word in normalised(wording).split():
                 node = node.setdefault(word, {})
             node.setdefault(None, name)  # the first wording wins
+        self.tags = {name.lower(): f"notice-{licence}" for licence, names in LICENCES for name in (licence, *names) if " " not in name}
         self.by_first: dict[str, list] = {}
         for number, (licence, wanted) in enumerate(self.rules):
             self.by_first.setdefault(wanted[0], []).append((number, licence, tuple(wanted)))
@@ -226,8 +234,15 @@ class Scanner:
             return held[k]
 
         out, i = [], 0
+        tagged = "spdx-license-identifier" in text.lower()
         while i < len(parts):
             held.pop(i - 1, None)
+            if tagged and (line := _EXPRESSION.match(text, parts[i][0])):
+                out += [(name, parts[i][0], line.end(), number) for name in self.expression(line[1])]
+                number += 1
+                while i < len(parts) and parts[i][0] < line.end():
+                    i += 1
+                continue
             node, best, j = self.tree, None, i
             # The depth of the tree bounds the walk.
             while j < len(parts) and (j > i or may_begin(j)):
@@ -249,16 +264,35 @@ class Scanner:
                 i += 1
         return out
 
+    def expression(self, text: str) -> list[str]:
+        """Identifiers of the licences that an SPDX expression names; exceptions after WITH aren't licences."""
+        words = re.findall(r"[A-Za-z0-9.+-]+", text)
+        named = [w.lower() for w, before in zip(words, ["", *words]) if w.lower() not in (*_OPERATORS, "with") and before.lower() != "with"]
+        return [self.tags[w] for w in named if w in self.tags]
+
+    def _run(self, found: list, at: int, wanted: tuple[str, ...]) -> int | None:
+        """The place after a rule that begins at a place, or None; ignored sentences inside it don't count as gaps."""
+        last, skipped = found[at][3], 0
+        at += 1
+        for name in wanted[1:]:
+            while at < len(found) and found[at][0] in IGNORED and found[at][0] != name:
+                at, skipped = at + 1, skipped + 1
+            if at == len(found) or found[at][0] != name or found[at][3] - last - 1 - skipped > self.gap:
+                return None
+            last, skipped = found[at][3], 0
+            at += 1
+        return at
+
     def scan(self, text: str) -> list[tuple[str, int, int, int, list[str]]]:
         """(licence, start, end, rule number, identifiers) of each match in order."""
         found = self.sentences(text)
         out, at = [], 0
         while at < len(found):
             for number, licence, wanted in self.by_first.get(found[at][0], ()):
-                run = found[at : at + len(wanted)]
-                if tuple(x[0] for x in run) == wanted and all(b[3] - a[3] - 1 <= self.gap for a, b in zip(run, run[1:])):
-                    out.append((licence, run[0][1], run[-1][2], number, list(wanted)))
-                    at += len(wanted)
+                after = self._run(found, at, wanted)
+                if after is not None:
+                    out.append((licence, found[at][1], found[after - 1][2], number, list(wanted)))
+                    at = after
                     break
             else:
                 at += 1

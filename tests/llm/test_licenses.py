@@ -43,6 +43,13 @@ def full(*names):
         (full("mit-grant") + " One, two, three, four. " + full("mit-condition"), ["MIT"]),
         ("In MIT, 2020, a study of licensed software.", []),
         ("", []),
+        ("BSD 3-Clause License\n\nCopyright (c) 2020, The Authors\nAll rights reserved.\n\n" + full("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), ["BSD-3-Clause"]),
+        ("MIT License\n\nCopyright 2021 Someone. All rights reserved.\n\n" + full("mit-grant", "mit-condition", "mit-warranty"), ["MIT"]),
+        ("Copyright 2021 Someone.\nAll rights reserved.\n" + full("mit-grant", "mit-condition"), ["LicenseRef-all-rights-reserved", "MIT"]),
+        ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */\nint x;", ["MIT", "Apache-2.0"]),
+        ("# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note\n", ["GPL-2.0-only"]),
+        ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR Unknown-1.0\nReleased under the MIT License.", ["MIT", "BSD-3-Clause", "MIT"]),
+        ("SPDX-License-Identifier: Nothing OR Other", []),
     ],
 )
 def test_rules(text, wanted):
@@ -64,6 +71,14 @@ def test_every_known_sentence_is_found():
             assert name in [s[0] for s in scanner.sentences(form)], (name, form)
 
 
+def test_rows_that_match(spark):
+    """Null ids, repeated rows and clashing columns beside texts with licences."""
+    mit, gpl = "Released under the MIT License.", "SPDX-License-Identifier: GPL-2.0-or-later"
+    rows = [(None, mit, 1), (None, mit, 1), (1, gpl, 1), (1, f"{gpl}\n{mit}", 2), (2, None, 3)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, matches int")).collect()
+    assert sorted(((r.doc_id, [m.licence for m in r.matches]) for r in found), key=repr) == sorted([(None, ["MIT"]), (None, ["MIT"]), (1, ["GPL-2.0-or-later"]), (1, ["GPL-2.0-or-later", "MIT"]), (2, [])], key=repr)
+
+
 def test_odd_rows(spark):
     rows = licenses.scan(odd_docs(spark)).collect()
     assert len(rows) == 10 and all(r.matches == [] for r in rows)
