@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillmine import __main__ as job
 from quillmine.operators import crawling
 from quillmine.operators.crawling import CrawlLog, WebSource, crawl
 
@@ -52,3 +53,13 @@ def test_nothing_to_visit(spark, tmp_path, site):
     start, pages, links = site
     log = CrawlLog(spark, f"file://{tmp_path}/c", WebSource("s", (), ("elsewhere.edu",)), 4)
     assert log.run(start, pages, links).count() == 0
+
+
+def test_the_job_crawls_every_source_of_a_file(spark, tmp_path, capsys):
+    body = "<html><body><article><h1>T</h1><p>" + "word " * 30 + "</p>{}</article></body></html>"
+    pages = [(AT, body.format('<a href="/a">a</a>'), True, "text/html"), (AT + "a", body.format('<a href="b">b</a>'), True, "text/html; charset=utf-8"), (AT + "b", "%PDF", True, "application/pdf")]
+    spark.createDataFrame(pages, "url string, html string, allowed boolean, content_type string").write.parquet(f"{tmp_path}/pages")
+    (tmp_path / "sources.json").write_text('{"sources": [{"name": "s", "start_urls": ["%s"], "allowed_domains": ["s.edu"]}]}' % AT)
+    for _ in range(2):  # the second finds it done
+        assert job.crawl(spark, f"{tmp_path}/sources.json", f"{tmp_path}/pages", f"file://{tmp_path}/log") == 0
+        assert '"kept": 2' in (said := capsys.readouterr().out) and '"not_html": 1' in said
