@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from quillmine.functions import fixed
 from quillmine.functions.config import Settings
 from quillmine.functions.text import is_aggregate_query, search_form, search_text, strip, tokens
-from quillmine.operators import fusion, lexical, vectors
+from quillmine.operators import fusion, lexical, patterns, vectors
 from quillmine.sources.tables import persist
 
 METADATA = ["source_type", "source_url", "section", "department", "crawled_at"]
@@ -69,20 +69,11 @@ def catalogue_hits(prepared: DataFrame, catalogue: DataFrame, top_k: int) -> Dat
 
 
 def target_documents(prepared: DataFrame, corpus: DataFrame) -> DataFrame:
-    """qid, document: programme documents that a question names, only those with its longest programme name.
-
-    Substrings of the questions, of the lengths that programme names have, meet the names in an equi-join.
-    """
+    """qid, document: programme documents that a question names, only those with its longest programme name. All names are looked for in one pass over the questions."""
     names = corpus.select("document").distinct().where(F.lower("document").endswith(".pdf") & F.contains("document", F.lit(fixed.SCOPE_MARK)))
-    names = names.withColumn("programme", search_text(strip(F.substring_index("document", fixed.SCOPE_MARK, 1)))).where("programme <> ''")
-    names = names.withColumn("size", F.length("programme"))
-    sizes = sorted(r[0] for r in names.select("size").distinct().collect())
-    if not sizes:
-        return prepared.select("qid", F.lit("").alias("document")).limit(0)
-    cut = lambda n: F.when(F.length("form") >= n, F.transform(F.sequence(F.lit(1), F.length("form") - (n - 1)), lambda i: F.substring(F.col("form"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    parts = prepared.select("qid", F.explode(F.array_distinct(F.concat(*map(cut, sizes)))).alias("programme"))
-    named = parts.join(names, "programme")
-    return named.withColumn("longest", F.max("size").over(Window.partitionBy("qid"))).where("size = longest").select("qid", "document").distinct()
+    names = names.select(F.col("document").alias("name"), search_text(strip(F.substring_index("document", fixed.SCOPE_MARK, 1))).alias("pattern")).where("pattern <> ''")
+    named = patterns.longest_named(prepared.select("qid", F.col("form").alias("text")), names, ["qid"])
+    return named.withColumnRenamed("name", "document")
 
 
 def keyword_backend(any_script: bool = True, documents: DataFrame | None = None, most_k: int | None = None) -> Backend:
