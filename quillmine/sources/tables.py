@@ -57,13 +57,23 @@ def numbered(df: DataFrame, order: list, first: int, name: str) -> DataFrame:
     return joined.withColumn("ordinal", F.lit(first) + F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__p", "__start")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/quillmine/{spark.sparkContext.applicationId}"
+
+
 def persist(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that later steps don't depend on lost tasks."""
-    path = f"{shared_folder(df.sparkSession)}/quillmine/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> None:
+    """Remove the tables that `persist` has written in this application; results that weren't read or written yet are lost."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Snapshots:
     """Versions of a table under a path; a version counts once it is written whole, and readers use the last one."""
 

@@ -2,7 +2,7 @@ from pathlib import Path
 
 import pytest
 
-from quillmine.sources import commits
+from quillmine.sources import commits, tables
 from quillmine.sources.tables import shared_folder
 from quillmine.operators.store import KeyedStore
 
@@ -61,6 +61,14 @@ def test_delete_before_put_and_new_columns(spark, tmp_path):
     assert {r.key: (r.body, r.size) for r in store.read().collect()} == {"a": ("1", None), "b": (None, 5)}
 
 
+def test_tables_of_an_application_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert tables.persist(spark.range(5), "five").count() == 5
+    assert list(tmp_path.rglob("five-*/*.parquet"))
+    tables.remove_tables(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 class _Session:
     """A session with a master and settings of its own."""
 
