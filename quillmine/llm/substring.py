@@ -258,6 +258,9 @@ def passed_windows(docs: DataFrame, length: int = LENGTH, most_bits: int = MOST_
     for part, ranges, maps, bits in sketches(docs.select("text"), length, most_bits):
         shared = docs.sparkSession.sparkContext.broadcast(maps)
         found = keyed.mapInArrow(_windows(shared, bits, length, part, ranges), "h1 long, h2 int, own long, none boolean, text_key long, start int, run int, later boolean")
+        if ranges > 1:  # a range's windows are written, so that one sketch is held at a time
+            found = persist(found, "windows")
+            shared.destroy()
         windows = found if windows is None else windows.unionByName(found)
     return windows
 
