@@ -61,7 +61,8 @@ def limit(values: Column, scale: int = SCALE) -> Column:
 
 
 def _up_to(values: Column, last: Column) -> Column:
-    return F.filter(values, lambda x: x <= last)
+    """The hashes up to a limit. The limit is bound by an array of one element, as a lambda's body is evaluated anew for each hash."""
+    return F.transform(F.array(last), lambda bound: F.filter(values, lambda x: x <= bound))[0]
 
 
 def _cut(hashes: Column, scale: int) -> Column:
