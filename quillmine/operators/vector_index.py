@@ -113,7 +113,8 @@ class VectorIndex:
             for batch in batches:
                 if batch.num_rows:
                     data = points(_matrix(batch.column("vector"), np.ones(batch.num_rows, bool)), metric, longest)
-                    cell = np.concatenate([cell_order(data[at : at + 1024], shared.value)[:, 0] for at in range(0, len(data), 1024)])
+                    step = max(1, vectors.TILE // len(shared.value))
+                    cell = np.concatenate([np.argmin(np.round(vectors.distances(data[at : at + step], shared.value, "l2"), 12), axis=1) for at in range(0, len(data), step)])
                     yield pa.RecordBatch.from_arrays([batch.column("ordinal"), batch.column("vector"), pa.array(cell.astype(np.int32))], ["ordinal", "vector", "cell"])
 
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -196,12 +197,12 @@ def _best_in_cells(shared, k: int, metric: str, by: str):
                 asked = asking.get(int(c), np.zeros(0, np.int64))
                 for at in range(0, len(asked), vectors.QUERY_ROWS):
                     own = asked[at : at + vectors.QUERY_ROWS]
-                    found = np.round(vectors.distances(matrix[own], data, metric), 12)
-                    for q, d in zip(own.tolist(), found):
-                        old_d, old_o = best.get(q, (np.zeros(0), np.zeros(0, np.int64)))
-                        d, o = np.concatenate([old_d, d]), np.concatenate([old_o, ordinal])
-                        order = np.lexsort((o, d))[:k]
-                        best[q] = d[order], o[order]
+                    for q, d, o in zip(own.tolist(), *vectors.best_rows(matrix[own], data, ordinal, k, metric)):
+                        if q in best:
+                            d, o = np.concatenate([best[q][0], d]), np.concatenate([best[q][1], o])
+                            order = np.lexsort((o, d))[:k]
+                            d, o = d[order], o[order]
+                        best[q] = d, o
         if best:
             n = [len(d) for d, _ in best.values()]
             yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,8 @@ from quillmine.sources.tables import persist
 
 #: Queries travel to every task, so a batch must be small; more are searched batch by batch, one pass over the rows each.
 MOST_QUERY_BYTES = 64 << 20
-QUERY_ROWS = 2048
+#: Distances that a task has at once, and the queries among them; a task's memory follows these, not the number of queries.
+TILE, QUERY_ROWS = 1 << 20, 512
 
 
 def relevance(distance: Column, metric: str) -> Column:
@@ -39,6 +40,34 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
 
 
+def best_rows(queries: np.ndarray, rows: np.ndarray, ordinal: np.ndarray, k: int, metric: str, held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ordinals (queries, up to k) of the nearest rows of each query, ties by ordinal, computed tile by tile. held: the best of earlier rows."""
+    best_d, best_o = held or (np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64))
+    step = max(1, TILE // min(QUERY_ROWS, len(queries)))
+    for low in range(0, len(rows), step):
+        data, own = rows[low : low + step], ordinal[low : low + step]
+        size = min(k, best_d.shape[1] + len(data))
+        new_d, new_o = np.empty((len(queries), size)), np.empty((len(queries), size), np.int64)
+        for at in range(0, len(queries), QUERY_ROWS):
+            old_d, old_o = best_d[at : at + QUERY_ROWS], best_o[at : at + QUERY_ROWS]
+            d = np.round(distances(queries[at : at + QUERY_ROWS], data, metric), 12)
+            keep = np.ones(d.shape, bool)
+            if d.shape[1] > k:
+                keep &= ~(d > np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+            if old_d.shape[1] == k:
+                keep &= ~(d > old_d[:, -1:])
+            q, place = np.nonzero(keep)
+            q = np.concatenate([np.repeat(np.arange(len(d)), old_d.shape[1]), q])
+            d = np.concatenate([old_d.reshape(-1), d[keep]])
+            o = np.concatenate([old_o.reshape(-1), own[place]])
+            order = np.lexsort((o, d, q))
+            q = q[order]
+            order = order[np.arange(len(q)) - np.searchsorted(q, q) < size]
+            new_d[at : at + QUERY_ROWS], new_o[at : at + QUERY_ROWS] = d[order].reshape(-1, size), o[order].reshape(-1, size)
+        best_d, best_o = new_d, new_o
+    return best_d, best_o
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", by: str = "qid") -> DataFrame:
     """qid, ordinal, distance and rank of the k nearest rows of each query, ties by ordinal. Both have a column `vector`.
 
@@ -67,8 +96,7 @@ def _found(corpus: DataFrame, asked: DataFrame, k: int, metric: str, by: str, ki
 
     def run(batches):
         ids, matrix = shared.value
-        best_d = np.full((len(ids), 0), np.inf)
-        best_o = np.zeros((len(ids), 0), np.int64)
+        best_d, best_o = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
             vectors = batch.column("vector")
             ordinal = batch.column("ordinal").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -76,16 +104,7 @@ def _found(corpus: DataFrame, asked: DataFrame, k: int, metric: str, by: str, ki
             if not keep.any():
                 continue
             data = np.array(vectors.filter(pa.array(keep)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(int(keep.sum()), -1)
-            ordinal = ordinal[keep]
-            new_d, new_o = [], []
-            for at in range(0, len(ids), QUERY_ROWS):
-                d = np.round(distances(matrix[at : at + QUERY_ROWS], data, metric), 12)
-                d = np.concatenate([best_d[at : at + QUERY_ROWS], d], axis=1)
-                o = np.concatenate([best_o[at : at + QUERY_ROWS], np.broadcast_to(ordinal, (len(d), len(ordinal)))], axis=1)
-                order = np.lexsort((o, d), axis=1)[:, :k]
-                new_d.append(np.take_along_axis(d, order, 1))
-                new_o.append(np.take_along_axis(o, order, 1))
-            best_d, best_o = np.concatenate(new_d), np.concatenate(new_o)
+            best_d, best_o = best_rows(matrix, data, ordinal[keep], k, metric, (best_d, best_o))
         if best_d.shape[1]:
             n = best_d.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(best_o.reshape(-1)), pa.array(best_d.reshape(-1))], [by, "ordinal", "distance"])

@@ -87,3 +87,23 @@ def test_queries_in_batches(spark, tmp_path, monkeypatch):
 
 def test_query(spark):
     assert vector_index_recall(spark, "/root/testdata/sf0.01").first().recall >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_a_task_holds_one_tile_of_distances(monkeypatch, metric):
+    """However many queries and rows meet; equal distances, also across tiles, are in the order of ordinals."""
+    r, seen, whole = np.random.default_rng(3), [], vectors.distances
+    rows, asked = r.integers(-2, 3, (700, 3)).astype(float), r.integers(-2, 3, (90, 3)).astype(float)
+    rows[5], ordinal = np.nan, r.permutation(700)
+    monkeypatch.setattr(vectors, "TILE", 400)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 20)
+    monkeypatch.setattr(vectors, "distances", lambda *a: seen.append(whole(*a)) or seen[-1])
+    for k in (1, 7, 900):
+        held = None
+        for at in range(0, 700, 250):  # batches
+            held = vectors.best_rows(asked, rows[at : at + 250], ordinal[at : at + 250], k, metric, held)
+        d = np.round(whole(asked, rows, metric), 12)
+        o = np.broadcast_to(ordinal, d.shape)
+        order = np.lexsort((o, d), axis=1)[:, :k]
+        assert np.array_equal(held[1], np.take_along_axis(o, order, 1)) and np.array_equal(held[0], np.take_along_axis(d, order, 1), equal_nan=True)
+    assert max(d.size for d in seen) <= 400
