@@ -75,7 +75,10 @@ def search_text(text: Column, any_script: bool = True, conversion: Conversion |
     With any_script every row passes through Python, those of plain Latin letters as nulls whose form the JVM makes; without it all stays in the JVM.
     conversion: a table of phrases and characters in place of the built-in characters.
     """
-    native = clean(_joined_codes(F.lower(text)))
+    return _compared(text, clean(_joined_codes(F.lower(text))), any_script, conversion)
+
+
+def _compared(text: Column, native: Column, any_script: bool, conversion: Conversion | None) -> Column:
     if not any_script:
         return native
     plain = text.rlike(r"\A[\x00-\x7EÀ-ÿ]*\z")
@@ -94,7 +97,8 @@ def tokens_of(form: Column) -> Column:
 
 
 def tokens(text: Column, any_script: bool = True, conversion: Conversion | None = None) -> Column:
-    return tokens_of(search_text(text, any_script, conversion))
+    """The tokens of a text's form, which is made once. White space isn't brought to one kind for it, as no token has any."""
+    return F.transform(F.array(_compared(text, _joined_codes(F.lower(text)), any_script, conversion)), tokens_of)[0]
 
 
 def detect_language(text: Column) -> Column:

@@ -76,3 +76,10 @@ def test_settings():
     for bad in ({"chunk_overlap": 1000}, {"fetch_k": 1}, {"similarity_threshold": 2}, {"distance_metric": "x"}, {"llm_timeout": 0}, {"rrf_k": 0}):
         with pytest.raises(config.InvalidSettings):
             config.Settings(**bad)
+
+
+def test_a_form_is_made_once_for_its_tokens(spark):
+    df = spark.createDataFrame([("MAT 1001  a\tbb\n中 文x1\x1f y t 2002",), ("",), (None,)], "text string")
+    made = df.select(text.tokens(F.col("text"), False).alias("a"), text.tokens_of(text.search_text(F.col("text"), False)).alias("b"))
+    assert all(r.a == r.b for r in made.collect()) and made.first().a[0] == "mat1001"
+    assert made.select("a")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
