@@ -139,7 +139,6 @@ class ChunkIndex:
         made_now = make(status.where("status <> 'unchanged'").select("key")).withColumn("tokens", tokens(F.col("text"), self.any_script))
         made_now = made_now if self.encode is None else made_now.withColumn("vector", self.encode(F.col("text")))
         first = base.values.get("next_ordinal", 0)
-        made_now = persist(made_now, "made-chunks")  # ranges are sampled, which would make chunks and tokens twice
         new = numbered(made_now, [F.col("key"), F.col("page"), F.col("chunk_index")], first, "chunks")
         made = new.groupBy("kind", "key", "hash", "document").agg(F.count(F.lit(1)).alias("n_chunks")).withColumn("configuration", F.lit(self.configuration))
         made = persist(made.select("kind", "key", "hash", "document", "configuration", "n_chunks"), "made")
