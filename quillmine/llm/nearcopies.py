@@ -51,6 +51,8 @@ MOST_BLOCK = 1 << 16
 NEAREST = 8
 #: Closest others that each fingerprint gives in one block in the first round.
 NEAREST_IN_BLOCK = 2
+#: Samples in whose blocks the first round looks for links, so that their number for a fingerprint doesn't grow with that of all samples. The second round goes over all.
+FIRST = 8
 #: Rows of a tile whose sets meet those of another tile in the second round.
 SETS_TILE = 256
 #: Links of one class from which they are dealt over several tasks.
@@ -178,8 +180,14 @@ def nearest_links(far: np.ndarray, radius: int, nearest: int) -> list[tuple[int,
     return out
 
 
+def _top(up: dict[int, int], k: int) -> int:
+    while k in up:
+        k = up[k]
+    return k
+
+
 def block_links(words: np.ndarray, radius: int = RADIUS, nearest: int = NEAREST_IN_BLOCK) -> list[tuple[int, int, int]]:
-    """Links (i, j, distance) within a block: forests and closest rows of its tiles, and the closest pair of every two trees of different tiles.
+    """Links (i, j, distance) within a block: forests and closest rows of its tiles, and close pairs of different tiles that join trees not yet joined. There are fewer than 1 + nearest a row.
 
     Rows are in the order of population counts, and tile pairs whose counts differ by more than the radius are skipped.
     """
@@ -189,24 +197,33 @@ def block_links(words: np.ndarray, radius: int = RADIUS, nearest: int = NEAREST_
     ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
     order = np.argsort(ones, kind="stable")
     words, ones = words[order], ones[order]
-    out, trees = [], []
+    out, root = [], np.arange(len(words))
     for i in range(0, len(words), TILE):
         far = _distances(words[i : i + TILE], words[i : i + TILE])
         found, tree = forest(far, radius)
         out += [(i + a, i + b, d) for a, b, d in found + nearest_links(far, radius, nearest)]
-        trees.append(tree)
+        root[i : i + TILE] = i + tree
     for i in range(0, len(words), TILE):
         for j in range(i + TILE, len(words), TILE):
             if ones[j] - ones[min(i + TILE, len(words)) - 1] > radius:
                 break
             far = _distances(words[i : i + TILE], words[j : j + TILE])
-            x, y = np.nonzero(far <= radius)
+            x, y = np.nonzero((far <= radius) & (root[i : i + TILE, None] != root[None, j : j + TILE]))
             if len(x):
                 d = far[x, y]
-                pair = trees[i // TILE][x] * TILE + trees[j // TILE][y]
-                by = np.lexsort((d, pair))
-                first = by[np.append(True, pair[by][1:] != pair[by][:-1])]
-                out += [(i + int(a), j + int(b), int(c)) for a, b, c in zip(x[first], y[first], d[first])]
+                p, q = root[i + x], root[j + y]
+                by = np.lexsort((d, q, p))
+                first = by[np.append(True, (p[by][1:] != p[by][:-1]) | (q[by][1:] != q[by][:-1]))]
+                up = {}
+                for k in first[np.argsort(d[first], kind="stable")]:
+                    a, b = _top(up, int(p[k])), _top(up, int(q[k]))
+                    if a != b:
+                        up[b] = a
+                        out.append((i + int(x[k]), j + int(y[k]), int(d[k])))
+                name = np.arange(len(words))
+                for b in up:
+                    name[b] = _top(up, b)
+                root = name[root]
     return [(int(order[a]), int(order[b]), d) for a, b, d in out]
 
 
@@ -269,7 +286,7 @@ def candidates(classes: DataFrame, similarity: float = SIMILARITY, radius: int =
     """Links (a, b) of classes (node, fp1, fp2) to be held against the sets: of each class to the first of its own fingerprint, and of each fingerprint to its closest."""
     distinct = persist(classes.groupBy("fp1", "fp2").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "distinct")
     bits, tables = tables_for(distinct.count(), similarity)
-    keyed = distinct.select("node", "fp1", "fp2").mapInArrow(_keyed(samples(tables)), "sample int, key long, node long, fp1 long, fp2 long")
+    keyed = distinct.select("node", "fp1", "fp2").mapInArrow(_keyed(samples(min(FIRST, tables))), "sample int, key long, node long, fp1 long, fp2 long")
     keyed = keyed.withColumn("prefix", F.shiftright("key", SAMPLE_BITS - bits)).repartition("sample", "prefix").sortWithinPartitions("sample", "key")
     far = persist(keyed.select(*_KEYED).mapInArrow(_compared(bits, radius), "a long, b long, distance int").distinct(), "links")
     shared = distinct.where("n > 1").select(F.col("node").alias("a"), F.col("fp1").alias("x"), F.col("fp2").alias("y"))

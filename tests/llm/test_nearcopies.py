@@ -127,3 +127,56 @@ def test_tiles_of_a_block_hold_every_open_pair(monkeypatch):
         pairs = {(a, b) for (t, u), sides in met.items() for a in sides[0] for b in sides[0 if t == u else 1]}
         assert want <= {(min(p), max(p)) for p in pairs}
         assert len(met) > 1 or tile == 256
+
+
+def crowd(r, n, flips=10, centres=1):
+    words = np.repeat(r.integers(0, 1 << 63, (centres, 2), dtype=np.uint64), n // centres, axis=0)
+    for row in words:
+        for at in r.choice(128, flips, replace=False):
+            row[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    return words
+
+
+def test_links_of_a_fingerprint_do_not_grow_with_samples_or_tiles(spark, monkeypatch):
+    made, compared = spark.sparkContext.accumulator(0), nearcopies._compared
+
+    def counted(*given):
+        def run(batches, f=compared(*given)):
+            for batch in f(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(nearcopies, "_compared", counted)
+    n = 200
+    fps = crowd(np.random.default_rng(6), n).view(np.int64).tolist()
+    classes = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(fps)], "node long, fp1 long, fp2 long")
+    rows = []
+    for tables in (12, 48):
+        monkeypatch.setattr(nearcopies, "tables_for", lambda *_: (4, tables))
+        before = made.value
+        assert nearcopies.candidates(classes).count()
+        rows.append(made.value - before)
+    assert rows[0] == rows[1] <= nearcopies.FIRST * n * (1 + nearcopies.NEAREST_IN_BLOCK)
+    monkeypatch.setattr(nearcopies, "TILE", 8)
+    words = crowd(np.random.default_rng(7), 240, 6, 6)
+    far = np.bitwise_count(words[:, None] ^ words[None, :]).sum(axis=2)
+    found, want, got = nearcopies.block_links(words, 30), Sets(range(240)), Sets(range(240))
+    assert len(found) < 240 * (1 + nearcopies.NEAREST_IN_BLOCK)
+    for a, b in zip(*np.nonzero(far <= 30)):
+        want.join(int(a), int(b))
+    for a, b, d in found:
+        assert far[a, b] == d <= 30
+        got.join(a, b)
+    assert [got.root(i) for i in range(240)] == [want.root(i) for i in range(240)]
+
+
+def test_groups_do_not_depend_on_the_samples_of_the_first_round(spark, monkeypatch):
+    r = rng(15)
+    text = words_text(r, 100)
+    texts = [edited(r, text, r.randrange(1, 9)) for _ in range(60)] + [edited(r, t, n) for t in [words_text(r, 90) for _ in range(20)] for n in (0, 1, 3)]
+    want = sorted(by_hand(list(enumerate(texts))))
+    for first in (1, 1000):
+        monkeypatch.setattr(nearcopies, "FIRST", first, raising=False)
+        assert sorted(x.doc_id for x in nearcopies.keep_first(frame(spark, texts)).collect()) == want
