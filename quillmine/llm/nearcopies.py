@@ -7,11 +7,11 @@ tiles are made come from `tables_for` samples of the bits: a block has the finge
 the length of a sample and the number of samples follow the number of fingerprints, so that a pair at the
 similarity shares some block with chance 0.997 (more above it) while blocks stay small.
 
-Links are held against the shingle sets in two rounds. The first settles most groups with few of them: a block gives the
-links of a minimum spanning forest of fingerprints within RADIUS bits and each one's links to its NEAREST_IN_BLOCK closest, and of all
+Links are held against the shingle sets in two rounds. The first settles most groups with few of them: a block of the first FIRST
+samples gives the links of a spanning forest of fingerprints within RADIUS bits and each one's links to its NEAREST_IN_BLOCK closest, and of all
 these the links to the NEAREST closest of each fingerprint are tried, so a group of n near copies gives links in proportion to n.
-The second round (`rest`) tries every other pair within the radius that shares a block and is in two groups still, without a
-bound on partners: the sets of its rows meet in pairs of tiles of the block, each pair in the first sample it shares, and
+The second round (`rest`) goes over all samples and tries every other pair within the radius that shares a block and is in two groups still, without a
+bound on partners, so the groups are the same whatever the first round leaves: the sets of its rows meet in pairs of tiles of the block, each pair in the first sample it shares, and
 only links that join groups leave a tile. So no pair below the similarity is linked, and one above it is missed only if it
 shares no block or is beyond the radius; recall is measured in the README.
 
