@@ -7,8 +7,11 @@ each with a pass over the texts of its own, whose rows are written before the ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmine.sources.tables import persist
@@ -46,6 +49,18 @@ def _finder(shared, by: list[str], bounded: bool):
     return run
 
 
+class _Within:
+    """The patterns that a text has, once each. The trie is made once a task, at its first text."""
+
+    def __init__(self, shared):
+        self.shared, self.found = shared, None
+
+    def __call__(self, text: str) -> list[str]:
+        if self.found is None:
+            self.found = _automaton(self.shared.value)
+        return list({p for _, p in self.found.iter(text)})
+
+
 def _parts(patterns: DataFrame, most: int) -> list[Column | None]:
     """Conditions on `pattern` that cut a table into parts of at most `most` bytes each, by hashes of first characters; a character with more has parts by the pattern's own hash."""
     size = F.sum(F.octet_length("pattern") + F.lit(8))
@@ -64,14 +79,8 @@ def _parts(patterns: DataFrame, most: int) -> list[Column | None]:
     return out + [rest & (F.pmod(F.xxhash64(first), F.lit(parts)) == k) for k in range(parts)]
 
 
-def occurrences(texts: DataFrame, patterns: DataFrame, by: list[str], bounded: bool = True, most: int | None = None) -> DataFrame:
-    """by, pattern and at (from 0) of every place of every pattern in the texts (by, text), overlapping ones too.
-
-    bounded: places beside a Latin lower-case letter or digit don't count. Null and empty patterns and texts have no places; a repeated pattern counts once.
-    """
-    most = most or MOST_BYTES
-    spark, kinds = texts.sparkSession, {f.name: f.dataType.simpleString() for f in texts.schema}
-    schema = ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", pattern string, at long"
+def _by_part(spark: SparkSession, patterns: DataFrame, most: int, find: Callable[[Broadcast], DataFrame], schema: str) -> DataFrame:
+    """What `find` makes of the patterns, part by part."""
     distinct = patterns.select("pattern").where("pattern <> ''").distinct()
     parts = _parts(distinct, most)
     distinct = distinct if len(parts) == 1 else persist(distinct, "patterns")
@@ -81,7 +90,7 @@ def occurrences(texts: DataFrame, patterns: DataFrame, by: list[str], bounded: b
         if not held:
             continue
         shared = spark.sparkContext.broadcast(held)
-        found = texts.select(*by, "text").mapInArrow(_finder(shared, by, bounded), schema)
+        found = find(shared)
         if len(parts) > 1:
             found = persist(found, "pattern-places")
             shared.destroy()
@@ -89,6 +98,35 @@ def occurrences(texts: DataFrame, patterns: DataFrame, by: list[str], bounded: b
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def _keys(texts: DataFrame, by: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    return ", ".join(f"`{b}` {kinds[b]}" for b in by)
+
+
+def occurrences(texts: DataFrame, patterns: DataFrame, by: list[str], bounded: bool = True, most: int | None = None) -> DataFrame:
+    """by, pattern and at (from 0) of every place of every pattern in the texts (by, text), overlapping ones too.
+
+    bounded: places beside a Latin lower-case letter or digit don't count. Null and empty patterns and texts have no places; a repeated pattern counts once.
+    """
+    schema = f"{_keys(texts, by)}, pattern string, at long"
+    return _by_part(texts.sparkSession, patterns, most or MOST_BYTES, lambda shared: texts.select(*by, "text").mapInArrow(_finder(shared, by, bounded), schema), schema)
+
+
+def contained(texts: DataFrame, patterns: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
+    """by and pattern of each pattern that a text (by, text) has anywhere, a row each, as `contains` has it: case and spaces count, and an empty pattern is in every text that isn't null.
+
+    Texts go to Python by the hundred: whole documents in Arrow's batches of thousands take memory on both sides.
+    """
+    some = texts.where("text <> ''")
+
+    def find(shared: Broadcast) -> DataFrame:
+        return some.select(*by, F.explode(F.udf(_Within(shared), "array<string>", useArrow=False)("text")).alias("pattern"))
+
+    found = _by_part(texts.sparkSession, patterns, most or MOST_BYTES, find, f"{_keys(texts, by)}, pattern string")
+    empty = patterns.select("pattern").where("pattern = ''").distinct()
+    return found.unionByName(texts.where("text is not null").select(*by).crossJoin(F.broadcast(empty)))
+
+
 def named_groups(texts: DataFrame, groups: DataFrame, by: list[str], bounded: bool = True) -> DataFrame:
     """by and group of each group (group, pattern) that a text (by, text) names by one of its patterns at least."""
     found = occurrences(texts, groups, by, bounded).select(*by, "pattern").distinct()

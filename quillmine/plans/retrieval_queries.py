@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmine.functions import fixed
 from quillmine.functions.config import Settings
-from quillmine.operators import answers, evaluation, fusion, lexical, vectors, versions
+from quillmine.operators import answers, evaluation, fusion, lexical, patterns, vectors, versions
 from quillmine.operators.retrieval import retrieve
 from quillmine.plans.common import corpus, dealt_cases, dealt_values, literal as _text, questions, table
 
@@ -92,13 +92,11 @@ def prompt_context(spark, sf_dir):
 
 
 def _cases(spark, sf_dir):
-    """Questions with the first document that has their passage whole; the others should be refused. Candidates share the first eight words."""
-    words = lambda c: F.split(c, "[ \n]+")
-    docs = corpus(spark, sf_dir).select("ordinal", F.col("page").alias("gold_page"), F.col("text").alias("body"), words("text").alias("w"))
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 7)), lambda i: F.xxhash64(F.slice("w", i, 8)))
-    docs = docs.select("ordinal", "gold_page", "body", F.explode(F.array_distinct(shingles)).alias("start"))
-    asked = questions(spark, sf_dir).withColumn("start", F.xxhash64(F.slice(words("text"), 1, 8)))
-    gold = asked.join(docs, "start").where(F.contains("body", F.col("text"))).groupBy("qid").agg(F.min("ordinal").alias("gold"))
+    """Questions with the first document that has their passage whole, wherever it begins; the others should be refused."""
+    passages = questions(spark, sf_dir).withColumnRenamed("text", "pattern")
+    held = patterns.contained(corpus(spark, sf_dir).select("ordinal", "text"), passages, ["ordinal"])
+    first = held.groupBy("pattern").agg(F.min("ordinal").alias("gold"))
+    gold = passages.join(first, "pattern").groupBy("qid").agg(F.min("gold").alias("gold"))
     doc = F.concat(F.lit("d"), F.col("gold").cast("string"))
     out = questions(spark, sf_dir).join(gold, "qid", "left")
     return out.select("qid", F.col("text").alias("question"), F.when(F.col("gold").isNotNull(), doc).alias("relevant_document"), F.array((F.col("gold") + 1).cast("int")).alias("relevant_pages"), F.col("gold").isNull().alias("should_refuse"))

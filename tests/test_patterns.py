@@ -33,6 +33,15 @@ def test_occurrences(spark, bounded, most):
     assert sorted(map(tuple, found.collect())) == brute(texts, wanted, bounded)
 
 
+@pytest.mark.parametrize("most", [None, 30])
+def test_contained(spark, most):
+    """As `in`: inside words, with spaces, several places once; an empty pattern is in every text, a null one in none."""
+    texts = [(0, 'say "aab b" a'), (1, "aaaaaa"), (2, "书馆 1"), (3, ""), (4, None)]
+    wanted = ["aab b", "b", "aa", "a", "aa", " ", '"a', "馆 1", "aab  b", "A", "", "", None]
+    found = patterns.contained(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(w,) for w in wanted], "pattern string"), ["id"], most)
+    assert sorted(map(tuple, found.collect())) == sorted((i, w) for i, t in texts for w in set(wanted) if None not in (t, w) and w in t)
+
+
 def test_no_patterns_or_texts(spark):
     texts = spark.createDataFrame([(1, "x")], "id int, text string")
     none = spark.createDataFrame([], "pattern string")

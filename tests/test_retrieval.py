@@ -3,11 +3,13 @@ import random
 from collections import Counter
 from dataclasses import replace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillmine.functions.config import Settings
 from quillmine.operators import evaluation, fusion, lexical, retrieval, vectors
+from quillmine.plans import retrieval_queries
 
 CORPUS = [
     (0, "图书馆开放时间为 8:00 至 22:00", "guide.pdf", 1),
@@ -183,3 +185,19 @@ def test_empty_tables(spark):
     none = corpus(spark).limit(0)
     assert retrieval.retrieve(asked(spark, "图书馆"), none).count() == 0
     assert retrieval.retrieve(asked(spark, "图书馆").limit(0), corpus(spark)).count() == 0
+
+
+def test_every_document_that_has_a_passage_counts(spark, tmp_path):
+    """Passages within words, after other signs, of few words, of no whole word and empty ones, as in SQL."""
+    whole = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    texts = [None, "nothing to see", f'Intro "{whole}" end', f"{whole} x", "pre(short question).", "one two three four five six seven eight. More", "says: lead word here of it all again and again", "donaudampfschifffahrt", ""]
+    asked = [whole, "short question", "one two three four five six seven eight", " lead word here of it all again and", "dampfschiff", "absent thing", "pha beta gamma delta epsilon zeta eta theta", None, ""]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    gold = {r.qid: r.relevant_document for r in retrieval_queries._cases(spark, str(tmp_path)).collect()}
+    assert gold == {0: "d2", 1: "d4", 2: "d5", 3: "d6", 4: "d7", 5: None, 6: "d2", 7: None, 8: "d1"}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    found = con.sql(retrieval_queries.SQL["eval_metrics"])
+    assert retrieval_queries.eval_metrics(spark, str(tmp_path)).first().asDict() == dict(zip(found.columns, found.fetchall()[0]))
